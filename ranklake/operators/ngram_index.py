@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,14 +12,13 @@ from pyspark.sql import functions as F
 def char_ngrams(c: Column, sizes: tuple[int, ...]) -> Column:
     """All n-grams of ``c`` between marks for its ends; with size 1, the characters without marks."""
     marked = F.concat(F.lit("^"), c, F.lit("$"))
-    grams = [
-        F.when(
-            F.length(marked) >= n,
-            F.transform(F.sequence(F.lit(1), F.length(marked) - (n - 1)), lambda i, n=n: F.substring(marked, i, n)),
-        ).otherwise(F.array().cast("array<string>"))
-        for n in sizes
-        if n > 1
-    ]
+
+    def of_size(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(marked) - (n - 1))
+        grams = F.transform(starts, lambda i: F.substring(marked, i, F.lit(n)))
+        return F.when(F.length(marked) >= n, grams).otherwise(F.array().cast("array<string>"))
+
+    grams = [of_size(n) for n in sizes if n > 1]
     if 1 in sizes:
         grams.append(F.filter(F.split(c, ""), lambda x: x != ""))
     return F.flatten(F.array(*grams))
@@ -70,19 +69,30 @@ def indexed_cosine(queries: DataFrame, entries: DataFrame, sizes: tuple[int, ...
     )
 
 
-def edit_distance(a: str, b: str, *, cheap_tail: tuple[str, ...] = (), swap: float = 1.0, twin: float = 1.0) -> float:
-    """Edit distance with adjacent swaps; a doubled character costs ``twin``, a cheap tail of ``a`` costs 0.1."""
+def edit_distance(
+    a: str,
+    b: str,
+    *,
+    cheap_tail: tuple[str, ...] = (),
+    swap: float = 1.0,
+    twin: float = 1.0,
+    differs: Callable[[str, str], float] = lambda x, y: 1.0,
+) -> float:
+    """Edit distance with adjacent swaps; a doubled character costs ``twin``, a cheap tail of ``a`` costs 0.1.
+
+    ``differs`` gives the cost of one character for another.
+    """
     for tail in cheap_tail:
         if a != b and a.endswith(tail) and len(a) > len(tail):
-            shorter = edit_distance(a[: -len(tail)], b, swap=swap, twin=twin)
-            return min(edit_distance(a, b, swap=swap, twin=twin), shorter + 0.1)
+            shorter = edit_distance(a[: -len(tail)], b, swap=swap, twin=twin, differs=differs)
+            return min(edit_distance(a, b, swap=swap, twin=twin, differs=differs), shorter + 0.1)
     before: list[float] = []
     row = [float(j) for j in range(len(b) + 1)]
     for i, x in enumerate(a, 1):
         new = [float(i)]
         for j, y in enumerate(b, 1):
             drop = twin if i > 1 and a[i - 2] == x else 1.0
-            best = min(row[j - 1] + (x != y), row[j] + drop, new[j - 1] + 1.0)
+            best = min(row[j - 1] + (differs(x, y) if x != y else 0.0), row[j] + drop, new[j - 1] + 1.0)
             if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
                 best = min(best, before[j - 2] + swap)
             new.append(best)
@@ -90,20 +100,14 @@ def edit_distance(a: str, b: str, *, cheap_tail: tuple[str, ...] = (), swap: flo
     return row[-1]
 
 
-def with_edit_distance(
-    pairs: DataFrame, left: str, right: str, out: str, *, cheap_tail: tuple[str, ...] = (), swap: float = 1.0
-) -> DataFrame:
-    """``pairs`` with the edit distance of two text columns as ``out``; meant for pairs with a reference list."""
+def with_distance(pairs: DataFrame, left: str, right: str, out: str, measure: Callable[[str, str], float]) -> DataFrame:
+    """``pairs`` with ``measure`` of two text columns as ``out``; meant for pairs with a reference list."""
 
     @F.pandas_udf("double")
     def distance(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for a, b in batches:
             yield pd.Series(
-                [
-                    None if x is None or y is None else edit_distance(x, y, cheap_tail=cheap_tail, swap=swap, twin=0.8)
-                    for x, y in zip(a, b, strict=True)
-                ],
-                dtype="float64",
+                [None if x is None or y is None else measure(x, y) for x, y in zip(a, b, strict=True)], dtype="float64"
             )
 
     return pairs.withColumn(out, distance(left, right))

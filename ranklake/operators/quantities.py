@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ranklake.functions.text import fold_width, is_missing, squeezed
-from ranklake.operators.ngram_index import indexed_cosine, with_edit_distance
+from ranklake.operators.ngram_index import edit_distance, indexed_cosine, with_distance
 from ranklake.session import cut
 
 # Units with their size in the unit of the result, and their usual spellings.
@@ -80,7 +80,9 @@ def alias_dictionary(spellings: DataFrame, most: float = 0.3) -> DataFrame:
     asked = spellings.select("field", F.col("spelling").alias("text"))
     near = indexed_cosine(asked, lexicon, (1, 2))
     near = near.where(F.abs(F.length("text") - F.length("name")) <= 4)
-    near = with_edit_distance(near, "text", "name", "distance", cheap_tail=PARTICLES)
+    near = with_distance(
+        near, "text", "name", "distance", lambda a, b: edit_distance(a, b, cheap_tail=PARTICLES, twin=0.8)
+    )
     allowed = F.when(F.length("text") <= 3, 0.2).otherwise(F.greatest(F.lit(0.2), F.length("text") * F.lit(most)))
     best = (
         near.where(F.col("distance") <= allowed)
