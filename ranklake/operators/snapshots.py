@@ -58,10 +58,9 @@ def snapshot_changes(
             "content"
         ].alias("content")
     )
-    now = latest.where("d_before IS NOT NULL").select(
-        *(F.col(c).alias(f"n_{c}") for c in ("owner", "date", "key", "content"))
-    )
-    was = latest.where("d_after IS NOT NULL").select(
+    # Both sides keep all rows until they have met, so that they are one and the same shuffle, made once.
+    now = latest.select(*(F.col(c).alias(f"n_{c}") for c in ("owner", "date", "d_before", "key", "content")))
+    was = latest.select(
         F.col("owner").alias("w_owner"),
         F.col("d_after").alias("w_date"),
         F.col("key").alias("w_key"),
@@ -80,7 +79,8 @@ def snapshot_changes(
         .when(F.col("n_content") != F.col("w_content"), "changed")
     )
     gone = F.col("n_key").isNull()
-    return met.select(
+    counts = F.when(gone, F.col("w_date").isNotNull()).otherwise(F.col("n_d_before").isNotNull())
+    return met.where(counts).select(
         F.when(gone, F.col("w_owner")).otherwise(F.col("n_owner")).alias("owner"),
         F.coalesce("n_date", "w_date").alias("snapshot_date"),
         F.coalesce("n_key", "w_key").alias("record_key"),
