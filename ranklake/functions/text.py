@@ -16,9 +16,10 @@ _BLANK = r"[\s\p{Z}\p{Cf}]"
 
 def fold_width(c: Column) -> Column:
     """Wide characters, typographic dashes and unit signs in plain form; zero-width characters removed."""
-    c = F.translate(c, _WIDE, _PLAIN)
-    c = F.regexp_replace(c, "[\u200b\u200c\u200d\u2060\ufeff\u00ad]", "")
-    return F.regexp_replace(F.regexp_replace(c, "㎏", "kg"), "㎎", "mg")
+    wide = F.translate(c, _WIDE, _PLAIN)
+    wide = F.regexp_replace(wide, "[\u200b\u200c\u200d\u2060\ufeff\u00ad]", "")
+    wide = F.regexp_replace(F.regexp_replace(wide, "㎏", "kg"), "㎎", "mg")
+    return F.when(c.rlike(r"^[\n\r\t -~가-힣]*\z"), c).otherwise(wide)
 
 
 def trimmed(c: Column) -> Column:
@@ -54,7 +55,8 @@ def notice_number(c: Column) -> Column:
     full = F.concat(
         F.regexp_extract(plain, shape, 1), part(2), F.lit("-"), part(3), F.lit("-"), F.lpad(part(4), 8, "0")
     )
-    return F.when(~is_missing(c), F.when(plain.rlike(shape), full).otherwise(F.nullif(plain, F.lit(""))))
+    long_way = F.when(~is_missing(c), F.when(plain.rlike(shape), full).otherwise(F.nullif(plain, F.lit(""))))
+    return F.when(c.rlike(r"^[A-Z]{2}[0-9]{2}-[0-9]{4}-[0-9]{8}\z"), c).otherwise(long_way)
 
 
 def canonical_hash(*cols: Column) -> Column:

@@ -11,6 +11,10 @@ from ranklake.functions.text import canonical_hash
 from ranklake.session import small_side
 
 
+#: Stands for a null owner among the keys.
+_NO_OWNER = "\x00"
+
+
 def snapshot_changes(
     df: DataFrame,
     *,
@@ -34,7 +38,7 @@ def snapshot_changes(
     hashes of the content are shuffled.
     """
     rows = df.select(
-        owner.alias("owner"),
+        F.coalesce(owner.cast("string"), F.lit(_NO_OWNER)).alias("owner"),
         date.alias("date"),
         F.coalesce(delivery.cast("long"), F.lit(-(2**62))).alias("delivery"),
         seen_at.alias("seen_at"),
@@ -49,20 +53,21 @@ def snapshot_changes(
         .withColumn("after", F.lead("date").over(in_order))
     )
     dates = small_side(dates.select(*(F.col(c).alias(f"d_{c}") for c in dates.columns)))
-    same = [F.col("owner").eqNullSafe(F.col("d_owner")), F.col("date") == F.col("d_date")]
+    same = [F.col("owner") == F.col("d_owner"), F.col("date") == F.col("d_date")]
     valid = rows.where("key IS NOT NULL").join(
         dates, reduce(Column.__and__, [*same, F.col("delivery") == F.col("d_delivery")])
     )
-    latest = valid.groupBy("owner", "date", "d_before", "d_after", "key").agg(
+    latest = valid.groupBy("owner", "date", "key").agg(
+        F.max(F.struct("d_before", "d_after")).alias("d"),
         F.max(F.struct(F.coalesce(F.unix_micros(F.col("seen_at").cast("timestamp")), F.lit(-(2**62))), "content"))[
             "content"
         ].alias("content")
     )
     # Both sides keep all rows until they have met, so that they are one and the same shuffle, made once.
-    now = latest.select(*(F.col(c).alias(f"n_{c}") for c in ("owner", "date", "d_before", "key", "content")))
+    now = latest.select(*(F.col(c).alias(f"n_{c}") for c in ("owner", "date", "key", "content", "d")))
     was = latest.select(
         F.col("owner").alias("w_owner"),
-        F.col("d_after").alias("w_date"),
+        F.col("d.d_after").alias("w_date"),
         F.col("key").alias("w_key"),
         F.col("content").alias("w_content"),
     )
@@ -70,7 +75,7 @@ def snapshot_changes(
         was,
         (F.col("n_date") == F.col("w_date"))
         & (F.col("n_key") == F.col("w_key"))
-        & F.col("n_owner").eqNullSafe(F.col("w_owner")),
+        & (F.col("n_owner") == F.col("w_owner")),
         "full_outer",
     )
     kind = (
@@ -79,9 +84,9 @@ def snapshot_changes(
         .when(F.col("n_content") != F.col("w_content"), "changed")
     )
     gone = F.col("n_key").isNull()
-    counts = F.when(gone, F.col("w_date").isNotNull()).otherwise(F.col("n_d_before").isNotNull())
+    counts = F.when(gone, F.col("w_date").isNotNull()).otherwise(F.col("n_d.d_before").isNotNull())
     return met.where(counts).select(
-        F.when(gone, F.col("w_owner")).otherwise(F.col("n_owner")).alias("owner"),
+        F.nullif(F.coalesce("n_owner", "w_owner"), F.lit(_NO_OWNER)).alias("owner"),
         F.coalesce("n_date", "w_date").alias("snapshot_date"),
         F.coalesce("n_key", "w_key").alias("record_key"),
         kind.alias("change_kind"),

@@ -50,7 +50,9 @@ def sql_notice_number(c: str) -> str:
 def plain_status(c):
     """A status without case, blanks and width; all missing ones are "unknown"."""
     bare = F.lower(F.regexp_replace(fold_width(c), r"[\s\p{Z}\p{Cf}]+", ""))
-    return F.when(is_missing(c), "unknown").otherwise(bare)
+    long_way = F.when(is_missing(c), "unknown").otherwise(bare)
+    words = F.when(c.isin(*text.MISSING_WORDS), "unknown").otherwise(c)
+    return F.when(c.rlike(r"^[a-z가-힣()]+\z"), words).otherwise(long_way)
 
 
 def color_names(spark: SparkSession, sf_dir: str) -> Packing:
