@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ranklake.functions.text import is_missing
+from ranklake.functions.text import is_missing, notice_number
+from ranklake.llm.batch_dedup import check_batch, signatures
 from ranklake.llm.canonical_map import map_to_list, mapped_rows, reference_names
 from ranklake.operators.packed_values import packed_values
 from ranklake.plans.records import color_names
@@ -49,3 +50,22 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = reference_names(table(spark, sf_dir, "ref_values"), ("preferred_region",))
     mapping = map_to_list(values.select("field", "value"), names)
     return mapped_rows(values, mapping).select(F.col("field").alias("field_name"), "row_id", "ref_id")
+
+
+def item_signatures(spark: SparkSession, sf_dir: str, items: DataFrame) -> DataFrame:
+    return signatures(
+        items,
+        F.col("item_id"),
+        notice_number(F.col("notice_id")),
+        F.col("image_urls"),
+        table(spark, sf_dir, "stock_images").select("image_url"),
+    )
+
+
+@LLM.add("p3_found")
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "notice_items")
+    is_old = F.coalesce(F.col("batch_no"), F.lit(0)) == 0
+    old_pairs, history = check_batch(item_signatures(spark, sf_dir, items.where(is_old)), None)
+    new_pairs, _ = check_batch(item_signatures(spark, sf_dir, items.where(~is_old)), history)
+    return old_pairs.unionByName(new_pairs)
