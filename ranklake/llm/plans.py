@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ranklake.functions.text import is_missing, notice_number
 from ranklake.llm.batch_dedup import check_batch, signatures
 from ranklake.llm.canonical_map import map_to_list, mapped_rows, reference_names
+from ranklake.llm.truncation import cut_rates, endings, hidden_limits
 from ranklake.operators.packed_values import packed_values
 from ranklake.plans.records import color_names
 from ranklake.plans.registry import Registry, table
@@ -69,3 +70,24 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     old_pairs, history = check_batch(item_signatures(spark, sf_dir, items.where(is_old)), None)
     new_pairs, _ = check_batch(item_signatures(spark, sf_dir, items.where(~is_old)), history)
     return old_pairs.unionByName(new_pairs)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+
+
+@LLM.add("p8_found")
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return endings(documents(spark, sf_dir)).where("is_cut").select("doc_id")
+
+
+@LLM.add("p8_rates")
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_rates(endings(documents(spark, sf_dir)))
+
+
+@LLM.add("p8_limits")
+def p8_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hidden_limits(documents(spark, sf_dir).where("text IS NOT NULL")).withColumn(
+        "n_before", F.round("n_before", 6)
+    )
