@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ranklake.functions.text import is_missing, notice_number
 from ranklake.llm.batch_dedup import check_batch, signatures
 from ranklake.llm.canonical_map import map_to_list, mapped_rows, reference_names
+from ranklake.llm.mixing import selection, shares
+from ranklake.llm.packing import packed, packing_report
+from ranklake.llm.tokens import TOKENIZER, n_tokens
 from ranklake.llm.truncation import cut_rates, endings, hidden_limits
 from ranklake.operators.packed_values import packed_values
 from ranklake.plans.records import color_names
 from ranklake.plans.registry import Registry, table
+from ranklake.session import bounded_rows, cut
 
 LLM = Registry()
 
@@ -91,3 +97,50 @@ def p8_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hidden_limits(documents(spark, sf_dir).where("text IS NOT NULL")).withColumn(
         "n_before", F.round("n_before", 6)
     )
+
+
+def document_sizes(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", "source", n_tokens(F.col("text"), tokenizer).alias("n_tokens"))
+
+
+def _budgets(spark: SparkSession, sf_dir: str) -> list[tuple[str, int]]:
+    rows = bounded_rows(table(spark, sf_dir, "token_budgets").select("budget_name", "capacity_tokens"), 100)
+    return sorted((r.budget_name, r.capacity_tokens) for r in rows)
+
+
+def _packings(spark: SparkSession, sf_dir: str) -> list[tuple[str, int, DataFrame]]:
+    sizes = cut(document_sizes(spark, sf_dir).select("doc_id", "n_tokens"))
+    return [(name, c, packed(sizes, F.col("doc_id"), F.col("n_tokens"), c)) for name, c in _budgets(spark, sf_dir)]
+
+
+@LLM.add("p6_containers")
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = [
+        p.select(
+            F.lit(name).alias("budget_name"), "container_no", F.col("item_id").alias("doc_id"), "part_no",
+            F.col("start").alias("start_token"), F.col("length").alias("n_tokens"),
+        )
+        for name, _, p in _packings(spark, sf_dir)
+    ]
+    return reduce(DataFrame.unionByName, each)
+
+
+@LLM.add("p6_report")
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = [
+        packing_report(p, c).withColumn("budget_name", F.lit(name)).withColumn("capacity_tokens", F.lit(c))
+        for name, c, p in _packings(spark, sf_dir)
+    ]
+    return reduce(DataFrame.unionByName, each)
+
+
+@LLM.add("p7_selection")
+def p7_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection(document_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+@LLM.add("p7_shares")
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = table(spark, sf_dir, "mix_targets")
+    return shares(selection(document_sizes(spark, sf_dir), targets), targets)
