@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from ranklake.plans.notices import NOTICES
 from ranklake.plans.records import RECORDS
 from ranklake.plans.registry import Registry
 
 CORE = Registry()
 FLAGSHIP = "p1_found"
-for part in (RECORDS,):
+for part in (RECORDS, NOTICES):
     for name, plan in part.plans.items():
         CORE.add(name, part.sql.get(name))(plan)
