@@ -5,9 +5,10 @@ from __future__ import annotations
 from ranklake.plans.notices import NOTICES
 from ranklake.plans.records import RECORDS
 from ranklake.plans.registry import Registry
+from ranklake.plans.retrieval import RETRIEVAL
 
 CORE = Registry()
-FLAGSHIP = "p1_found"
-for part in (RECORDS, NOTICES):
+FLAGSHIP = "hybrid_top"
+for part in (RECORDS, NOTICES, RETRIEVAL):
     for name, plan in part.plans.items():
         CORE.add(name, part.sql.get(name))(plan)
