@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ranklake.plans.evaluation import EVALUATION
 from ranklake.plans.notices import NOTICES
 from ranklake.plans.records import RECORDS
 from ranklake.plans.registry import Registry
@@ -9,6 +10,6 @@ from ranklake.plans.retrieval import RETRIEVAL
 
 CORE = Registry()
 FLAGSHIP = "hybrid_top"
-for part in (RECORDS, NOTICES, RETRIEVAL):
+for part in (RECORDS, NOTICES, RETRIEVAL, EVALUATION):
     for name, plan in part.plans.items():
         CORE.add(name, part.sql.get(name))(plan)

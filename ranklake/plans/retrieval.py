@@ -345,12 +345,12 @@ def reciprocal_ranks(spark, sf):
     "place_scores",
     """SELECT system_id, query_id, doc_id, round((row_number() OVER (PARTITION BY system_id, query_id ORDER BY s, doc_id) - 1)
     / greatest(1, count(*) OVER (PARTITION BY system_id, query_id) - 1), 6) AS place_score FROM (
-    SELECT system_id, query_id, notice_id AS doc_id, max(CASE WHEN score IS NULL OR isnan(score) THEN 0 ELSE score END) AS s FROM ranking_run
+    SELECT system_id, query_id, notice_id AS doc_id, coalesce(max(score) FILTER (WHERE NOT isnan(score)), 0) AS s FROM ranking_run
     GROUP BY ALL)""",
 )
 def place_scores(spark, sf):
-    s = F.coalesce(F.nanvl("score", F.lit(0.0)), F.lit(0.0))
-    best = table(spark, sf, "ranking_run").groupBy("system_id", "query_id", F.col("notice_id").alias("doc_id")).agg(F.max(s).alias("s"))
+    best = table(spark, sf, "ranking_run").groupBy("system_id", "query_id", F.col("notice_id").alias("doc_id"))
+    best = best.agg(F.coalesce(F.max(F.when(~F.isnan("score"), F.col("score"))), F.lit(0.0)).alias("s"))
     placed = fusion.place_scores(best, "s", "doc_id", ["system_id", "query_id"])
     return placed.select("system_id", "query_id", "doc_id", F.round("place_score", 6).alias("place_score"))
 
