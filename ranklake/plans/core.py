@@ -7,9 +7,10 @@ from ranklake.plans.notices import NOTICES
 from ranklake.plans.records import RECORDS
 from ranklake.plans.registry import Registry
 from ranklake.plans.retrieval import RETRIEVAL
+from ranklake.plans.upkeep import UPKEEP
 
 CORE = Registry()
 FLAGSHIP = "hybrid_top"
-for part in (RECORDS, NOTICES, RETRIEVAL, EVALUATION):
+for part in (RECORDS, NOTICES, RETRIEVAL, EVALUATION, UPKEEP):
     for name, plan in part.plans.items():
         CORE.add(name, part.sql.get(name))(plan)

@@ -114,7 +114,7 @@ _TWO = f"""SELECT coalesce(a.query_id, b.query_id) AS query_id, a.rank AS l, b.r
     f"""WITH t AS ({_TWO.format(how="FULL")}), n AS (SELECT query_id, least(10, coalesce(max(l), 0), coalesce(max(r), 0)) AS n
       FROM t GROUP BY query_id), k AS (SELECT query_id, n, unnest(range(1, n + 1)) AS k FROM n),
     a AS (SELECT k.query_id, k.n, k.k, count(t.l) / k.k AS share FROM k LEFT JOIN t ON t.query_id = k.query_id AND t.l IS NOT NULL
-      AND t.r IS NOT NULL AND greatest(t.l, t.r) <= k.k GROUP BY ALL)
+      AND t.r IS NOT NULL AND greatest(t.l, t.r) <= k.k GROUP BY k.query_id, k.n, k.k)
     SELECT query_id, round(coalesce(s, 0), 6) AS rbo FROM n LEFT JOIN (SELECT query_id, sum(0.1 * share * pow(0.9, k - 1)) +
       max(CASE WHEN k = n THEN share * pow(0.9, n) END) AS s FROM a GROUP BY query_id) USING (query_id)""",
 )
@@ -218,9 +218,9 @@ _UNITS = f"(SELECT pair_id AS unit, score AS grade FROM ({_LATEST}) WHERE NOT sk
 
 @EVALUATION.add(
     "ordinal_alpha",
-    f"""WITH n AS (SELECT unit, grade, count(*) AS c, sum(count(*)) OVER (PARTITION BY unit) AS m FROM {_UNITS} GROUP BY ALL),
+    f"""WITH n AS (SELECT *, sum(c) OVER (PARTITION BY unit) AS m FROM (SELECT unit, grade, count(*) AS c FROM {_UNITS} GROUP BY ALL)),
     o AS (SELECT a.grade AS g, b.grade AS h, sum(a.c * (b.c - (a.grade = b.grade)::INT) / (a.m - 1)) AS v FROM n a JOIN n b
-      ON a.unit = b.unit WHERE a.m >= 2 GROUP BY ALL), k AS (SELECT g, sum(v) AS n FROM o GROUP BY g),
+      ON a.unit = b.unit WHERE a.m >= 2 GROUP BY a.grade, b.grade), k AS (SELECT g, sum(v) AS n FROM o GROUP BY g),
     d AS (SELECT g, n, sum(n) OVER (ORDER BY g) - n / 2 AS mid, sum(n) OVER () AS t FROM k)
     SELECT round(1 - sum(coalesce(o.v, 0) * pow(a.mid - b.mid, 2)) / sum(a.n * (b.n - (a.g = b.g)::INT) / (a.t - 1) *
       pow(a.mid - b.mid, 2)), 6) AS alpha FROM d a CROSS JOIN d b LEFT JOIN o ON o.g = a.g AND o.h = b.g""",
