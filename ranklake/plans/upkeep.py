@@ -14,27 +14,34 @@ from ranklake.plans.retrieval import _RUN_SQL, runs
 
 UPKEEP = Registry()
 
-# Two states of one table: the orders before, and after a refresh with some gone, some new and some changed.
-_OLD = "(SELECT o_orderkey, o_orderpriority, o_orderstatus FROM orders WHERE o_orderkey % 7 <> 0)"
-_NEW = """(SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderkey % 11 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus
-  FROM orders WHERE o_orderkey % 5 <> 0)"""
+# Two states of one table: what the providers delivered on one date and a week later.
+_BEFORE, _AFTER = "20260302", "20260309"
+_AT = """(SELECT provider_id || '|' || notice_id AS key, max(source_status) AS status, max(notice_end) AS ends FROM notice_snapshots
+  WHERE snapshot_date = '{date}' AND notice_id IS NOT NULL GROUP BY 1)"""
+_OLD, _NEW = _AT.format(date=_BEFORE), _AT.format(date=_AFTER)
 
 
 def _states(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
-    changed = F.when(F.col("o_orderkey") % 11 == 0, "X").otherwise(F.col("o_orderstatus"))
-    return o.where("o_orderkey % 7 <> 0"), o.where("o_orderkey % 5 <> 0").withColumn("o_orderstatus", changed)
+    rows = table(spark, sf, "notice_snapshots").where("notice_id IS NOT NULL")
+    key = F.concat_ws("|", "provider_id", "notice_id").alias("key")
+    at = lambda date: (
+        rows.where(F.col("snapshot_date") == date)
+        .groupBy(key)
+        .agg(F.max("source_status").alias("status"), F.max("notice_end").alias("ends"))
+    )
+    return at(_BEFORE), at(_AFTER)
 
 
-_ACTIONS = f"""SELECT coalesce(a.o_orderkey, b.o_orderkey) AS key, CASE WHEN a.o_orderkey IS NULL THEN 'new'
-  WHEN b.o_orderkey IS NULL THEN 'stale' WHEN a.o_orderstatus <> b.o_orderstatus THEN 'changed_text' ELSE 'retained' END AS action
-  FROM {_OLD} a FULL JOIN {_NEW} b ON a.o_orderkey = b.o_orderkey"""
+_ACTIONS = f"""SELECT coalesce(a.key, b.key) AS key, CASE WHEN a.key IS NULL THEN 'new' WHEN b.key IS NULL THEN 'stale'
+  WHEN a.status IS DISTINCT FROM b.status AND a.ends IS DISTINCT FROM b.ends THEN 'changed_both'
+  WHEN a.status IS DISTINCT FROM b.status THEN 'changed_text' WHEN a.ends IS DISTINCT FROM b.ends THEN 'changed_picture'
+  ELSE 'retained' END AS action FROM {_OLD} a FULL JOIN {_NEW} b ON a.key = b.key"""
 
 
 @UPKEEP.add("sync_actions", _ACTIONS)
 def sync_actions(spark, sf):
     old, new = _states(spark, sf)
-    return Y.sync_actions(old, new, "o_orderkey", ["o_orderstatus"], ["o_orderpriority"])
+    return Y.sync_actions(old, new, "key", ["status"], ["ends"])
 
 
 @UPKEEP.add("sync_counts", f"SELECT action, count(*) AS n FROM ({_ACTIONS}) GROUP BY action")
@@ -52,17 +59,18 @@ def safety_gates(spark, sf):
     return Y.safety_gates(sync_actions(spark, sf))
 
 
-_MERGE_SOURCE = """(SELECT item_id, CASE WHEN item_id % 3 = 0 THEN desc_full END AS desc_full,
-  CASE WHEN item_id % 2 = 0 THEN 'source' ELSE ' ' END AS color FROM notice_items WHERE item_id % 4 <> 0)"""
+# Items of the new batches, of each number the first, are the source for those of the history.
+_MERGE_SOURCE = """(SELECT notice_id, arg_min(desc_full, item_id) AS desc_full, arg_min(color, item_id) AS color FROM (SELECT
+  notice_id, item_id, coalesce(desc_full, '') AS desc_full, coalesce(color, '') AS color FROM notice_items
+  WHERE batch_no > 0 AND notice_id IS NOT NULL) GROUP BY notice_id)"""
+_TARGET = "(SELECT * FROM notice_items WHERE batch_no = 0)"
 
 
-def _merge_source(spark, sf):
-    i = table(spark, sf, "notice_items").where("item_id % 4 <> 0")
-    return i.select(
-        "item_id",
-        F.when(F.col("item_id") % 3 == 0, F.col("desc_full")).alias("desc_full"),
-        F.when(F.col("item_id") % 2 == 0, "source").otherwise(" ").alias("color"),
-    )
+def _merge_sides(spark, sf):
+    items = table(spark, sf, "notice_items")
+    new = items.where("batch_no > 0 AND notice_id IS NOT NULL").groupBy("notice_id")
+    first = lambda c: F.min_by(F.coalesce(c, F.lit("")), "item_id").alias(c)
+    return items.where("batch_no = 0"), new.agg(first("desc_full"), first("color"))
 
 
 _full = lambda c: f"nullif(trim({c}, ' '), '')"
@@ -70,20 +78,20 @@ _full = lambda c: f"nullif(trim({c}, ' '), '')"
 
 @UPKEEP.add(
     "merge_non_empty",
-    f"""SELECT t.item_id, coalesce({_full("s.desc_full")}, t.desc_full) AS desc_full, coalesce({_full("s.color")}, t.color)
-    AS color FROM notice_items t LEFT JOIN {_MERGE_SOURCE} s USING (item_id)""",
+    f"""SELECT t.notice_id, coalesce({_full("s.desc_full")}, t.desc_full) AS desc_full, coalesce({_full("s.color")}, t.color)
+    AS color FROM {_TARGET} t LEFT JOIN {_MERGE_SOURCE} s USING (notice_id)""",
 )
 def merge_non_empty(spark, sf):
-    return Y.merged(table(spark, sf, "notice_items"), _merge_source(spark, sf), "item_id", ["desc_full", "color"])
+    return Y.merged(*_merge_sides(spark, sf), "notice_id", ["desc_full", "color"])
 
 
 @UPKEEP.add(
     "fill_blanks",
-    f"""SELECT t.item_id, coalesce({_full("t.desc_full")}, {_full("s.desc_full")}) AS desc_full,
-    coalesce({_full("t.color")}, {_full("s.color")}) AS color FROM notice_items t LEFT JOIN {_MERGE_SOURCE} s USING (item_id)""",
+    f"""SELECT t.notice_id, coalesce({_full("t.desc_full")}, {_full("s.desc_full")}) AS desc_full,
+    coalesce({_full("t.color")}, {_full("s.color")}) AS color FROM {_TARGET} t LEFT JOIN {_MERGE_SOURCE} s USING (notice_id)""",
 )
 def fill_blanks(spark, sf):
-    return Y.merged(table(spark, sf, "notice_items"), _merge_source(spark, sf), "item_id", ["desc_full", "color"], True)
+    return Y.merged(*_merge_sides(spark, sf), "notice_id", ["desc_full", "color"], fill_only=True)
 
 
 _KNOWN = " + ".join(f"({_full(c)} IS NOT NULL)::INT" for c in ("color", "desc_full", "image_urls"))
