@@ -297,7 +297,7 @@ _FUSED_SQL = f"""WITH b AS ({_sql_top(_ROUNDED_BM25, "bm25", 50)}), v AS ({
   AS score FROM u"""
 
 
-def _fused(spark, sf):
+def _fused(spark, sf, weights=None):
     words = lexical.top_k(bm25_scores(spark, sf), "bm25", 50).select("query_id", "doc_id", "bm25")
     asked = profile_queries(spark, sf).select(F.col("query_id").alias("doc_id"))
     wanted = _gallery(spark, sf).join(asked, "doc_id", "left_semi").select(F.col("doc_id").alias("query_id"), "vector")
@@ -305,7 +305,7 @@ def _fused(spark, sf):
     near = near.withColumn("vector", F.round("score", 6)).select("query_id", "doc_id", "vector")
     near = lexical.top_k(near, "vector", 50).select("query_id", "doc_id", "vector")
     pool = fusion.candidate_union({"vector": near, "bm25": words})
-    return fusion.fused(pool).withColumn("score", F.round("score", 6))
+    return fusion.fused(pool, weights).withColumn("score", F.round("score", 6))
 
 
 @RETRIEVAL.add("hybrid_top", _sql_top(_FUSED_SQL, "score", 10))
