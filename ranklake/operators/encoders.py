@@ -19,10 +19,11 @@ def encoded(c: Column, load: Callable[[], Encoder]) -> Column:
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         run = load()
         for texts in batches:
-            known = texts.notna()
+            known = [i for i, t in enumerate(texts) if t is not None]
+            found = np.asarray(run([texts.iloc[i] for i in known]), dtype=np.float32) if known else []
             out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
-            if known.any():
-                out[known] = list(np.asarray(run(texts[known].tolist()), dtype=np.float32))
+            for i, vector in zip(known, found, strict=True):
+                out.iloc[i] = vector
             yield out
 
     return encode(c)
