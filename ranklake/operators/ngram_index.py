@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ranklake.session import cut, small_side
+
 
 def char_ngrams(c: Column, sizes: tuple[int, ...]) -> Column:
     """All n-grams of ``c`` between marks for its ends; with size 1, the characters without marks."""
@@ -41,22 +43,26 @@ def indexed_cosine(queries: DataFrame, entries: DataFrame, sizes: tuple[int, ...
     named = entries.where("name <> ''").select("field", "ref_id", "name").distinct()
     tf = gram_counts(named.withColumn("grams", char_ngrams(F.col("name"), sizes)), ["field", "ref_id", "name"], "grams")
     size = named.groupBy("field").agg(F.count(F.lit(1)).alias("n_names"))
+    tf, size = cut(tf), cut(size)
     idf = (
         tf.groupBy("field", "gram")
         .agg(F.count(F.lit(1)).alias("df"))
         .join(size, "field")
-        .select("field", "gram", F.log1p(F.col("n_names") / F.col("df")).alias("idf"), "n_names")
+        .select("field", "gram", F.log1p(F.col("n_names") / F.col("df")).alias("idf"))
     )
+    idf = small_side(idf)
     postings = tf.join(idf, ["field", "gram"]).select(
         "field", "gram", "ref_id", "name", (F.col("tf") * F.col("idf")).alias("w"), "idf"
     )
     norms = postings.groupBy("field", "ref_id", "name").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     postings = postings.join(norms, ["field", "ref_id", "name"]).withColumn("w", F.col("w") / F.col("norm"))
+    postings = small_side(postings.select("field", "gram", "ref_id", "name", "w"))
 
     asked = queries.where("text <> ''").select("field", "text").distinct()
     q = gram_counts(asked.withColumn("grams", char_ngrams(F.col("text"), sizes)), ["field", "text"], "grams")
     q = q.join(size, "field").join(idf.select("field", "gram", "idf"), ["field", "gram"], "left")
     q = q.withColumn("w", F.col("tf") * F.coalesce("idf", F.log1p(F.col("n_names"))))
+    q = cut(q.select("field", "text", "gram", "w"))
     q_norm = q.groupBy("field", "text").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("q_norm"))
     dots = (
         q.select("field", "text", "gram", F.col("w").alias("q_w"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ranklake.functions.text import fold_width, is_missing, squeezed
 from ranklake.operators.ngram_index import edit_distance, indexed_cosine, with_distance
-from ranklake.session import cut
+from ranklake.session import cut, stored
 
 # Units with their size in the unit of the result, and their usual spellings.
 UNITS: dict[str, dict[str, tuple[str, tuple[str, ...]]]] = {
@@ -180,6 +180,7 @@ def common_units(
         F.xxhash64("provider_id", "desc", "weight", "age").alias("content"),
         F.explode(F.concat(of("weight", F.lit(True)), of("age", ~is_birth))).alias("m"),
     ).select("row_id", "provider_id", "content", "m.*")
+    said = stored(said, "mentions")
     words = notes.select(
         F.col("provider_id").alias("n_provider"),
         F.posexplode(F.regexp_extract_all(F.lower(fold_width(F.col("note"))), F.lit(f"({_WORD})"), 1)).alias(
