@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from datetime import date
 
@@ -21,11 +22,8 @@ def notice_date(c: Column) -> Column:
 
 def contains_any(c: Column, terms: Iterable[str]) -> Column:
     """Whether any term occurs, without regard to case; null text contains nothing."""
-    lowered = F.lower(c)
-    found = F.lit(False)
-    for t in terms:
-        found = found | lowered.contains(t.lower())
-    return F.coalesce(found, F.lit(False))
+    quoted = "|".join(re.escape(t) for t in terms)
+    return F.coalesce(c.rlike(f"(?i)(?:{quoted})"), F.lit(False))
 
 
 def flag(c: Column) -> Column:
@@ -132,7 +130,7 @@ def tokens(c: Column) -> Column:
 
 def parsed_query(c: Column) -> dict[str, Column]:
     """The conditions a query text names: facets, personality, visibility, least photo quality and key words."""
-    text = trimmed(F.coalesce(c, F.lit("")))
+    text = F.coalesce(c, F.lit(""))
     facets = {name: matching_labels(text, terms, V.BROADER.get(name)) for name, terms in V.FACETS.items()}
     young = text.rlike("어린(?!이)")
     facets["age_hint"] = F.when(young, F.array_union(facets["age_hint"], F.array(F.lit("puppy")))).otherwise(facets["age_hint"])
