@@ -146,9 +146,13 @@ def map_to_list(
     )
     rest = cut(rest.where("r.near AND length(r.text) >= 2").select("field", "value", F.col("r.jamo").alias("text")))
     near = indexed_cosine(rest, names.select("field", "ref_id", F.col("jamo").alias("name")), (1, 2, 3))
-    near = with_distance(near.where(F.col("cosine") >= threshold), "text", "name", "apart", letters_apart)
-    pair = Window.partitionBy("field", "value")
     allowed = F.greatest(F.lit(most_apart), F.floor(F.length("name") / F.lit(16)).cast("double"))
+    # An edit changes the length by a syllable's three letters at most, so longer differences are out without counting.
+    near = near.where((F.col("cosine") >= threshold) & (F.abs(F.length("text") - F.length("name")) <= 3 * allowed))
+    # A number of partitions of its own: few rows, but each pair costs Python time.
+    near = near.repartition(read.sparkSession.sparkContext.defaultParallelism)
+    near = with_distance(near, "text", "name", "apart", letters_apart)
+    pair = Window.partitionBy("field", "value")
     scored = (
         rest.join(near.where(F.col("apart") <= allowed), ["field", "text"])
         .groupBy("field", "value", "ref_id")
