@@ -21,6 +21,8 @@ from ranklake.session import bounded_rows, cut
 #: Most rows that the list of targets may have.
 MOST_TARGETS = 10_000
 BLOCK_TOKENS, SHARDS, SEED = 256, 64, 7
+#: Most slots of a shard, and about as many documents are in one part of a running sum.
+SLOTS_IN_SHARD, ROWS_IN_BUCKET = 65_536, 500_000
 
 
 def blocks(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, buckets: int = 64, seed: int = SEED) -> DataFrame:
@@ -59,7 +61,7 @@ def draws(
     ``(mix, source, share, most repeats)``.
 
     A mix is as large as its scarcest source allows. Targets of sources without tokens are spread over the others in
-    proportion. The draw of a shard is multinomial over what each source has left, so the totals are met exactly.
+    proportion. There are ``shards`` shards, more if they would have over SLOTS_IN_SHARD slots. The draw of a shard is multinomial over what each source has left, so the totals are met exactly.
     """
     out = []
     for mix in sorted({t[0] for t in targets}):
@@ -77,8 +79,9 @@ def draws(
         used = np.zeros(len(names), dtype=np.int64)
         rng = np.random.Generator(np.random.PCG64([seed, int(hashlib.sha256(mix.encode()).hexdigest()[:8], 16)]))
         all_slots = int(left.sum())
-        for shard in range(shards):
-            size = all_slots * (shard + 1) // shards - all_slots * shard // shards
+        n_shards = max(shards, -(-all_slots // SLOTS_IN_SHARD))
+        for shard in range(n_shards):
+            size = all_slots * (shard + 1) // n_shards - all_slots * shard // n_shards
             drawn = np.zeros(len(names), dtype=np.int64)
             while (missing := size - int(drawn.sum())) > 0:
                 open_ = left - drawn
@@ -154,7 +157,8 @@ def selection(
         .withColumn("block_no", block_of(F.pmod("k", "n_blocks"), "n_blocks", "key"))
         .select("mix_name", "shard_no", F.col("i").alias("slot_no"), "use_no", "source", "block_no")
     )
-    return slots.join(blocks(used, block_tokens, seed=seed), ["source", "block_no"]).select(
+    buckets = max(64, used.count() // ROWS_IN_BUCKET)
+    return slots.join(blocks(used, block_tokens, buckets, seed), ["source", "block_no"]).select(
         "mix_name", "shard_no", "slot_no", "use_no", "source", "block_no", "doc_id", "start", "n_tokens"
     )
 

@@ -24,6 +24,8 @@ ROUNDS, FALL = 100, 6.0
 #: Lengths that one knapsack weighs; longer lists are thinned to the dearest of each of so many ranges of lengths.
 MOST_LENGTHS = 400
 
+ROWS_IN_BUCKET = 500_000
+
 Filling = list[tuple[int, int]]
 
 
@@ -116,23 +118,22 @@ def pieces(items: DataFrame, item_id: Column, size: Column, capacity: int) -> Da
     )
 
 
-def packed(items: DataFrame, item_id: Column, size: Column, capacity: int, buckets: int = 64) -> DataFrame:
+def packed(items: DataFrame, item_id: Column, size: Column, capacity: int, buckets: int | None = None) -> DataFrame:
     """``container_no, item_id, part_no, start, length``: every item, or every piece of a too long one, in a container.
 
     Containers count from 1. An item without size or of size 0 needs no room and stands in container 0. Rows that are
     repeated, also ids, are items of their own. An empty table gives no rows; a capacity must lie in 1..MOST_CAPACITY.
 
-    The rank of an item among those of its length is counted in ``buckets`` parts by hash, so that a length which a third
-    of all items have is not gathered in one task; the places are a table bounded by the fillings, whatever the number
+    The rank of an item among those of its length is counted in ``buckets`` parts by hash (64, and more so that a part has
+    about ROWS_IN_BUCKET rows), so that a length which a third of all items have is not gathered in one task; the places are a table bounded by the fillings, whatever the number
     of items.
     """
     if not 1 <= capacity <= MOST_CAPACITY:
         raise ValueError(f"a capacity must lie in 1..{MOST_CAPACITY}")
     spark = items.sparkSession
-    every = pieces(items, item_id, size, capacity).withColumn(
-        "bucket", F.pmod(F.xxhash64("item_id", "part_no"), F.lit(buckets)).cast("int")
-    )
-    every = cut(every)
+    every = cut(pieces(items, item_id, size, capacity))
+    buckets = buckets or max(64, every.count() // ROWS_IN_BUCKET)
+    every = every.withColumn("bucket", F.pmod(F.xxhash64("item_id", "part_no"), F.lit(buckets)).cast("int"))
     counts = cut(every.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")))
     histogram = {
         r.length: r.n for r in counts.where("length > 0").groupBy("length").agg(F.sum("n").alias("n")).collect()
