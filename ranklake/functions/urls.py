@@ -43,3 +43,18 @@ def picture_key(url: Column) -> Column:
     query = F.array_join(F.array_sort(kept), "&")
     whole = F.concat(host, port, stem, ending, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
     return F.when(host != "", whole)
+
+
+_PRIVATE = (
+    r"^(?:0|10|127)\.|^169\.254\.|^192\.168\.|^172\.(?:1[6-9]|2\d|3[01])\.|^100\.(?:6[4-9]|[7-9]\d|1[01]\d|12[0-7])\."
+    r"|^(?:22[4-9]|2[3-5]\d)\.|^\[|^localhost$|\.(?:localhost|local|internal|lan|home)$"
+)
+
+
+def safe_link(url: Column, longest: int = 2048) -> Column:
+    """The address if it is an absolute http(s) address without credentials, blanks, backslashes or control characters,
+    of at most ``longest`` characters and of no local or private host; else null."""
+    text = trimmed(url)
+    host = F.regexp_replace(F.lower(F.regexp_extract(text, r"^[A-Za-z]+://([^/?#:]*|\[[^\]]*\])", 1)), r"\.$", "")
+    shape = text.rlike(r"^(?i:https?)://[^/?#@\s\\]+(?:[/?#][^\s\\\x00-\x1f]*)?\z")
+    return F.when(shape & (F.length(text) <= longest) & (host != "") & ~host.rlike(_PRIVATE), text)

@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ranklake.functions.urls import safe_link
 from ranklake.operators import encoders, lexical, pictures
+from ranklake.operators.classify import classified, fit_text_classifier
+from ranklake.operators.evaluation import roc_auc
+from ranklake.operators.query_policy import Lexicon, evidence_label, normalised_queries
+from ranklake.operators.splits import split_of
 from ranklake.plans.registry import Registry, table
 from ranklake.plans.retrieval import (
     _FUSED_SQL, _MATCH_SQL, _RRF_SQL, RETRIEVAL, _fused, _sql_top, graph_candidates, graph_neighbours, reciprocal_ranks,
@@ -181,3 +186,67 @@ def tfidf_terms(spark, sf):
 
 
 
+
+
+# Queries, labels and classes of texts.
+
+LEXICON = Lexicon(
+    canonical=("small", "large", "red", "blue", "old", "new", "hot", "cold", "widget", "gear", "ring"),
+    aliases={"tiny": "small", "big": "large"},
+)
+
+
+@EXTRAS.add(
+    "canonical_words",
+    """SELECT p_partkey, array_to_string(list_filter(['small', 'large', 'red', 'blue', 'old', 'new', 'hot', 'cold', 'widget', 'gear',
+    'ring'], lambda w: list_contains(string_split(replace(p_name, ' rod', ' red'), ' '), w)), ' ') AS words FROM part""",
+)
+def canonical_words(spark, sf):
+    queries = table(spark, sf, "part").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("query_text"))
+    out = normalised_queries(queries, LEXICON)
+    return out.select(F.col("query_id").alias("p_partkey"), F.array_join("canonical", " ").alias("words"))
+
+
+@EXTRAS.add(
+    "evidence_labels",
+    """SELECT doc_id, CASE WHEN y AND NOT n THEN 1 WHEN n AND NOT y THEN -1 ELSE 0 END AS label FROM (SELECT doc_id,
+    contains(text, '온순') OR contains(text, '사람을 잘 따름') AS y, contains(text, '겁이 많') OR contains(text, '예민함') AS n
+    FROM documents)""",
+)
+def evidence_labels(spark, sf):
+    label = evidence_label(F.col("text"), "온순|사람을 잘 따름", "겁이 많|예민함", window=0)
+    return table(spark, sf, "documents").select("doc_id", label.alias("label"))
+
+
+@EXTRAS.add(
+    "safe_links",
+    """SELECT item_id, CASE WHEN regexp_matches(detail_url, '^https?://[^/?#@ ]+([/?#][^ ]*)?$') THEN detail_url END AS link
+    FROM notice_items""",
+)
+def safe_links(spark, sf):
+    return table(spark, sf, "notice_items").select("item_id", safe_link(F.col("detail_url")).alias("link"))
+
+
+@EXTRAS.add("text_classifier")
+def text_classifier(spark, sf):
+    """Guide pages told from other texts: fitted on the training groups, AUC on all held-out ones."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", (F.col("source") == "guide_page").cast("int").alias("label"))
+    part = split_of(F.col("doc_id").cast("string"), "classifier")
+    train, held = docs.where(part == "train"), docs.where(part != "train")
+    scores = classified(fit_text_classifier(train, "doc_id", "text", "label"), held, "doc_id", "text")
+    scored = scores.join(held, F.col("key") == F.col("doc_id")).select(F.lit("guide_page").alias("axis"), "label", "score")
+    return roc_auc(scored, ["axis"])
+
+
+@EXTRAS.add(
+    "identity_precision",
+    f"""SELECT label, count(*) AS n_queries, round(avg(p), 6) AS precision_10 FROM (SELECT n.query_id, a.label,
+    count(*) FILTER (WHERE b.label = a.label) / 10 AS p FROM ({RETRIEVAL.sql["nearest_l2"]}) n JOIN embeddings a
+    ON a.vec_id = n.query_id JOIN embeddings b ON b.vec_id = n.doc_id GROUP BY ALL) GROUP BY label""",
+)
+def identity_precision(spark, sf):
+    labels = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("found"))
+    own = labels.select(F.col("doc_id").alias("query_id"), F.col("found").alias("label"))
+    met = RETRIEVAL.plans["nearest_l2"](spark, sf).join(labels, "doc_id").join(own, "query_id")
+    each = met.groupBy("query_id", "label").agg((F.count(F.when(F.col("found") == F.col("label"), 1)) / 10).alias("p"))
+    return each.groupBy("label").agg(F.count(F.lit(1)).alias("n_queries"), F.round(F.avg("p"), 6).alias("precision_10"))

@@ -227,3 +227,40 @@ def test_pictures(spark):
     a = pictures.attributes(lit('{"coat_color": ["White", "blue", "white"], "dog_count": "50", "ear_shape": 7, "photo_quality_score": "2"}'))
     r = one(spark, *(v.alias(k) for k, v in a.items()))
     assert r.coat_color == ["white"] and r.dog_count == 10 and r.ear_shape == "unknown" and r.photo_quality_score == 1.0
+
+
+def test_query_policy(spark):
+    from ranklake.operators.query_policy import Lexicon, evidence_label, normalised_queries
+
+    lexicon = Lexicon(("small", "white", "black", "푸들"), {"tiny": "small", "하양": "white"}, {"snow white": "white"})
+    texts = ["Snow white 푸들은", "tiny blakk dog", "검정 말고 하양이 black 빼고", "whit", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "query_id int, query_text string")
+    got = [r for r in normalised_queries(df, lexicon).orderBy("query_id").collect()]
+    assert [r.canonical for r in got] == [["white", "푸들"], ["small", "black"], ["white"], [], [], []]
+    assert got[1].corrected == ["blakk"] and got[1].unknown == ["dog"] and got[3].unknown == ["whit"]
+    assert got[2].removed == ["검정 말고", "black 빼고"]
+    ties = Lexicon(("cat", "cot"))
+    (r,) = normalised_queries(spark.createDataFrame([(1, "cut")], "query_id int, query_text string"), ties).collect()
+    assert r.canonical == [] and r.unknown == ["cut"]
+    label = evidence_label(F.col("t"), "좋아", "싫어")
+    rows = [("산책 좋아", 1), ("산책 좋아하지 않음", -1), ("싫어", -1), ("좋아 그리고 싫어", 0), ("", 0), (None, 0)]
+    out = spark.createDataFrame(rows, "t string, want int").select(label, "want").collect()
+    assert [r[0] for r in out] == [r[1] for r in out]
+
+
+def test_safe_links(spark):
+    from ranklake.functions.urls import safe_link
+
+    good = ["https://a.example/x?y=1#z", "HTTP://a.example", "http://172.32.0.1/"]
+    bad = ["ftp://a.example", "https://u:p@a.example/", "http://localhost/", "http://x.local", "http://10.0.0.1/", "http://[::1]/",
+           "http://192.168.1.1:80/x", "https://a b", "//a.example", "https://a.example/\\x", "", None, "http://127.0.0.1.", "https://" + "a" * 3000]
+    df = spark.createDataFrame([(u,) for u in good + bad], "u string")
+    assert [r[0] for r in df.select(safe_link(F.col("u"))).collect()] == good + [None] * len(bad)
+
+
+def test_boxes(spark):
+    one_box = lambda c, s: F.struct(F.lit("dog").alias("label"), F.lit(c).alias("confidence"), F.array(*map(F.lit, (0.0, 0.0, s, 2.0))).alias("box"))
+    boxes = F.array(one_box(0.9, 0.1), one_box(0.5, 0.9), one_box(0.1, 1.0))
+    got = one(spark, pictures.best_boxes(boxes, 0.25, ("dog",)).alias("b")).b
+    assert [x.confidence for x in got] == [0.5, 0.9] and got[0].box == [0.0, 0.0, 0.9, 1.0]
+    assert one(spark, pictures.best_boxes(boxes, labels=("cat",)).alias("b")).b == []
