@@ -75,17 +75,16 @@ def average_precision(run: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
 
 
 def roc_auc(scored: DataFrame, by: list[str]) -> DataFrame:
-    """Area under the curve from mean ranks (ties count half): ``scored(..., label, score)``; null without both classes."""
-    w = Window.partitionBy(*by).orderBy("score")
-    same = Window.partitionBy(*by, "score")
-    ranked = scored.withColumn("mean_rank", F.rank().over(w) + (F.count(F.lit(1)).over(same) - 1) / 2)
-    out = ranked.groupBy(*by).agg(
-        F.sum("label").alias("p"),
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.when(F.col("label") == 1, F.col("mean_rank")).otherwise(0.0)).alias("s"),
-    )
-    p, q = F.col("p"), F.col("n") - F.col("p")
-    return out.select(*by, F.round(F.try_divide(F.col("s") - p * (p + 1) / 2, p * q), 6).alias("auc"))
+    """Area under the curve, ties count half: ``scored(..., label, score)``; null without both classes.
+
+    Rows are counted by score before any order is needed.
+    """
+    each = scored.groupBy(*by, "score").agg(F.sum("label").alias("p"), F.count(F.lit(1)).alias("n"))
+    each = each.withColumn("q", F.col("n") - F.col("p"))
+    lower = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("below", F.coalesce(F.sum("q").over(lower), F.lit(0)))
+    won = F.sum(F.col("p") * (F.col("below") + F.col("q") / 2))
+    return each.groupBy(*by).agg(F.round(F.try_divide(won, F.sum("p") * F.sum("q")), 6).alias("auc"))
 
 
 def _two(run: DataFrame, left: str, right: str, how: str) -> DataFrame:

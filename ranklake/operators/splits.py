@@ -26,19 +26,41 @@ def stratified_split(df: DataFrame, stratum: Column, key: Column, fraction: floa
     A single member is for training; halves round to the even number.
     """
     rows = df.select(stratum.alias("stratum"), key.cast("string").alias("key")).distinct()
-    order = F.sha2(F.concat_ws("|", F.lit(seed), "stratum", "key"), 256)
-    n = F.count(F.lit(1)).over(Window.partitionBy("stratum"))
-    place = F.row_number().over(Window.partitionBy("stratum").orderBy(order, "key"))
+    rows = rows.withColumn("h", F.sha2(F.concat_ws("|", F.lit(seed), "stratum", "key"), 256))
+    ranked = hash_ranks(rows, "stratum", "h", "key")
+    n = F.col("n")
     take = F.when(n == 1, 0).otherwise(F.greatest(F.lit(1), F.least(n - 1, F.bround(n * F.lit(fraction)).cast("long"))))
-    return rows.withColumn("part", F.when(place <= take, "validation").otherwise("train"))
+    return ranked.select("stratum", "key", F.when(F.col("place") <= take, "validation").otherwise("train").alias("part"))
+
+
+def hash_ranks(rows: DataFrame, group: str, h: str, key: str) -> DataFrame:
+    """``rows`` with ``place`` by a hexadecimal hash (then key) within the group, and ``n``, the group's size.
+
+    Places are counted in 256 parts by the first two digits, and the parts' sizes added, so no group is in one task.
+    """
+    rows = rows.withColumn("part_no", F.substring(h, 1, 2))
+    counts = rows.groupBy(group, "part_no").agg(F.count(F.lit(1)).alias("m"))
+    in_order = Window.partitionBy(group).orderBy("part_no")
+    before = F.coalesce(F.sum("m").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(
+        F.col(group).alias("c_group"), F.col("part_no").alias("c_part"), before.alias("before"),
+        F.sum("m").over(Window.partitionBy(group)).alias("n"),
+    )
+    own = F.row_number().over(Window.partitionBy(group, "part_no").orderBy(h, key))
+    met = rows.withColumn("own", own).join(
+        counts, F.col(group).eqNullSafe(F.col("c_group")) & (F.col("part_no") == F.col("c_part"))
+    )
+    return met.withColumn("place", F.col("own") + F.col("before")).drop("own", "before", "c_group", "c_part", "part_no")
 
 
 def stratified_sample(df: DataFrame, stratum: Column, key: Column, size: int, seed: str) -> DataFrame:
     """``stratum, key``: one of each stratum by hash, then by hash of all to ``size``; a limit is what the operator is for."""
     rows = df.select(stratum.alias("stratum"), key.cast("string").alias("key")).distinct()
     rows = rows.withColumn("h", F.sha2(F.concat_ws("|", F.lit(seed), "key"), 256))
-    first = F.row_number().over(Window.partitionBy("stratum").orderBy("h", "key")) == 1
-    ranked = rows.withColumn("late", F.when(first, 0).otherwise(1))
+    first = rows.groupBy("stratum").agg(F.min(F.struct("h", "key"))["key"].alias("first"))
+    first = first.select(F.col("stratum").alias("f_stratum"), "first")
+    ranked = rows.join(first, F.col("stratum").eqNullSafe(F.col("f_stratum")))
+    ranked = ranked.withColumn("late", F.when(F.col("key") == F.col("first"), 0).otherwise(1))
     return ranked.orderBy("late", "h", "key").limit(size).select("stratum", "key")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ranklake.functions.text import canonical_hash
@@ -56,9 +56,8 @@ def merged(target: DataFrame, source: DataFrame, key: str, cols: list[str], fill
 def best_records(df: DataFrame, key: str, cols: list[str], order: Column) -> DataFrame:
     """One record per key: the one with most known fields, then by ``order``; ``n_known`` says how many."""
     known = sum((F.when(F.nullif(F.trim(F.col(c)), F.lit("")).isNotNull(), 1).otherwise(0) for c in cols), F.lit(0))
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n_known"), "o"))
-    rows = df.withColumn("n_known", known).withColumn("o", order).withColumn("place", place)
-    return rows.where("place = 1").select(key, "n_known", *cols)
+    best = df.groupBy(key).agg(F.min(F.struct((-known).alias("k"), order.alias("o"), *cols)).alias("r"))
+    return best.select(key, (-F.col("r.k")).alias("n_known"), *(F.col(f"r.{c}").alias(c) for c in cols))
 
 
 def first_known(df: DataFrame, key: str, order: Column, cols: list[str]) -> DataFrame:
