@@ -37,6 +37,11 @@ class History:
     pivots: DataFrame
 
 
+def _digest(c: Column) -> Column:
+    """16 bytes that stand for a text."""
+    return F.unhex(F.md5(c.cast("binary")))
+
+
 def signatures(df: DataFrame, item_id: Column, number: Column, urls: Column, stock: DataFrame) -> DataFrame:
     """``item_id, number, set_key, pictures`` of each item; ``stock(image_url)`` lists the pictures that do not count.
 
@@ -48,13 +53,13 @@ def signatures(df: DataFrame, item_id: Column, number: Column, urls: Column, sto
     rows = df.select(
         item_id.alias("item_id"),
         number.alias("number"),
-        F.array_sort(F.array_distinct(F.transform(keys, lambda k: F.md5(k.cast("binary"))))).alias("pictures"),
+        F.array_sort(F.array_distinct(F.transform(keys, _digest))).alias("pictures"),
     ).where("item_id IS NOT NULL")
     once = rows.groupBy("item_id").agg(F.min(F.struct("number", "pictures")).alias("r")).select("item_id", "r.*")
     return once.select(
         "item_id",
         "number",
-        F.when(F.size("pictures") > 0, F.md5(F.array_join("pictures", "").cast("binary"))).alias("set_key"),
+        F.when(F.size("pictures") > 0, _digest(F.array_join(F.transform("pictures", F.hex), ""))).alias("set_key"),
         "pictures",
     )
 
@@ -81,21 +86,23 @@ def pivot_table(sets: DataFrame) -> DataFrame:
     )
 
 
-def near_sets(asked: DataFrame, table: DataFrame) -> DataFrame:
+def near_sets(asked: DataFrame, table: DataFrame, within: bool = True) -> DataFrame:
     """``set_key, other_key``: the sets of ``table`` that share at least half of all pictures with an asked set.
 
-    A set does not find itself. Exact: the true distance of every candidate is computed.
+    ``within`` tells that the asked sets are those of the table; a set does not find itself, and a picture that no other
+    set has is not asked for. Exact: the true distance of every candidate is computed.
     """
     common = table.join(asked.select("picture").distinct(), "picture", "left_semi")
-    counts = common.select("picture").unionByName(asked.select("picture")).groupBy("picture")
-    rarity = counts.agg(F.count(F.lit(1)).alias("n"))
+    counts = common.select("picture", F.lit(1).alias("there")).unionByName(asked.select("picture", F.lit(0).alias("there")))
+    rarity = counts.groupBy("picture").agg(F.count(F.lit(1)).alias("n"), F.sum("there").alias("n_there"))
     rarest = Window.partitionBy("set_key").orderBy("n", "picture")
     probes = (
         asked.join(rarity, "picture")
         .withColumn("i", F.row_number().over(rarest) - 1)
         .withColumn("low", F.ceil(F.col("size") / 2).cast("int"))
         .withColumn("high", 2 * F.col("size") - 3 * F.col("i"))
-        .where("high >= low")
+        .where(F.col("high") >= F.col("low"))
+        .where(F.col("n_there") > (1 if within else 0))
         .select(
             "picture", F.explode(F.sequence(band(F.col("low")), band(F.col("high")))).alias("band"), "low", "high",
             F.col("size").alias("p_size"), F.col("set_key").alias("p_key"), F.col("pictures").alias("p_pictures"),
@@ -194,7 +201,7 @@ def check_batch(batch: DataFrame, history: History | None) -> tuple[DataFrame, H
     if history is None:
         rest, across = items, None
     else:
-        across = cut(near_sets(table, history.pivots))
+        across = cut(near_sets(table, history.pivots, within=False))
         old = history.items
         known_sets = old.where("set_key IS NOT NULL").select("set_key")
         hit_sets = known_sets.union(across.select("set_key")).distinct()
