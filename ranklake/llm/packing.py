@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ranklake.session import cut
+from ranklake.session import BROADCAST_ROWS, cut
 
 #: Largest capacity; the histogram that comes to the driver has at most as many rows.
 MOST_CAPACITY = 65_536
@@ -157,7 +157,7 @@ def packed(items: DataFrame, item_id: Column, size: Column, capacity: int, bucke
         .withColumn("rank", F.col("own") + F.col("before"))
     )
     placed = ranked.join(
-        F.broadcast(places),
+        F.broadcast(places) if len(rows) <= BROADCAST_ROWS else places,
         (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("p_from")) & (F.col("rank") < F.col("p_to")),
     )
     container = F.col("first_container") + F.floor((F.col("rank") - F.col("p_from")) / F.col("per_container"))
