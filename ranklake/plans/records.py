@@ -28,7 +28,7 @@ _SQL_MISSING = ", ".join(_quoted(w) for w in text.MISSING_WORDS)
 
 def sql_fold(c: str) -> str:
     wide, plain = _quoted(text._WIDE), _quoted(text._PLAIN)
-    return f"regexp_replace(translate({c}, {wide}, {plain}), '\\p{{Cf}}', '', 'g')"
+    return f"replace(regexp_replace(translate({c}, {wide}, {plain}), '\\p{{Cf}}', '', 'g'), '㎏', 'kg')"
 
 
 def sql_missing(c: str) -> str:
@@ -103,7 +103,73 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@RECORDS.add("p4_found")
+_QUIET = "'\\s+', ' ', 'g'"
+_PARTS = r"'([0-9][0-9,]*(?:\.[0-9]+)?)\s*\(?\s*([a-z]+|[가-힣]+)?'"
+_BOUNDS = r"'미만|이하|이상|초과|이내|최소|최대|넘음|넘는|under|over|below|above|less than|more than|at least|at most|up to|within|[<>≤≥]'"
+_RANGES = r"'[0-9]\s*\(?([a-z]+|[가-힣]+)?\)?\s*(~|-|to\s|에서|내지)\s*[0-9]'"
+_LB, _OZ = "453.59237", "28.349523125"
+
+
+def _sql_factor(field: str, c: str) -> str:
+    """The factor of the first unit that a word, clause or note names."""
+    units = {
+        "weight": (
+            ("kg|킬로|키로|kilo", "1000"), ("파운드|pound|(^|[^a-z])lbs?([^a-z]|$)", _LB),
+            ("온스|ounce|(^|[^a-z])oz([^a-z]|$)", _OZ), ("그램|gram|(^|[^a-z])g([^a-z]|$)", "1"),
+        ),
+        "age": (
+            ("개월|달|month|(^|[^a-z])(m|mo|mos)([^a-z]|$)", "30"), ("주|week|(^|[^a-z])(w|wk)([^a-z]|$)", "7"),
+            ("살|년|세|year|(^|[^a-z])(y|yrs?)([^a-z]|$)", "365"), ("일|days?|(^|[^a-z])d([^a-z]|$)", "1"),
+        ),
+    }
+    whens = " ".join(f"WHEN regexp_matches({c}, '{p}') THEN {f}::DECIMAL(18, 9)" for p, f in units[field])
+    return f"CASE {whens} END"
+
+
+def _sql_amounts(field: str) -> str:
+    words = "체중|무게|몸무게|weight|mass" if field == "weight" else "나이|연령|월령|age"
+    text = f"lower(trim(regexp_replace({sql_fold(field)}, {_QUIET})))"
+    if field == "age":
+        for n, word in enumerate("한 두 세 네 다섯 여섯 일곱 여덟 아홉 열".split(), 1):
+            text = f"regexp_replace({text}, '^{word}\\s*(살|년|개월|달|주)', '{n}\\1')"
+    born = r"'((^|[^0-9])(19|20)?[0-9][0-9]\s*\(?(년\s*생|\s*출생))|((19|20)[0-9][0-9]\s*[-./년]\s*[0-9]+\s*\(?\s*(년월생|월\s*생|출생))|^(19|20)[0-9][0-9]$'"
+    clause = rf"regexp_extract(lower(coalesce(desc_full, '')), '[^,./;\n|]*({words})[^,./;\n|]*')"
+    number = (
+        "CASE WHEN regexp_matches(n, '^[0-9]{1,3}(,[0-9]{3})+(\\.[0-9]+)?$') THEN replace(n, ',', '') "
+        "ELSE replace(regexp_replace(n, ',+$', ''), ',', '.') END::DECIMAL(19, 4)"
+    )
+    own = _sql_factor(field, "u")
+    amount = f"""CASE WHEN len(ns) = 1 THEN {number.replace("(n,", "(ns[1],")} * coalesce({_sql_factor(field, "us[1]")},
+      {_sql_factor(field, "lead")}, {_sql_factor(field, "clause")}, {_sql_factor(field, "lower(unit_note)")})
+      WHEN len(list_filter(us, lambda u: ({own}) IS NULL)) = 0 THEN list_sum(list_transform(list_zip(ns, us),
+      lambda z: ({number.replace("(n,", "(z[1],")}) * ({_sql_factor(field, "z[2]")}))) END"""
+    return f"""SELECT item_id, '{field}' AS field_name, exact FROM (SELECT item_id, {amount} AS exact FROM (
+      SELECT item_id, unit_note, {clause} AS clause, regexp_extract(v, '([a-z]+|[가-힣]+)[\\s:(]*[0-9]', 1) AS lead,
+        regexp_extract_all(v, {_PARTS}, 1) AS ns, regexp_extract_all(v, {_PARTS}, 2) AS us
+      FROM (SELECT *, {text} AS v FROM notice_items LEFT JOIN providers USING (provider_id) WHERE NOT {sql_missing(field)})
+      WHERE NOT regexp_matches(v, {_BOUNDS}) AND NOT regexp_matches(v, {_RANGES})
+        {f"AND NOT regexp_matches(v, {born})" if field == "age" else ""}) WHERE len(ns) > 0) WHERE exact IS NOT NULL"""
+
+
+def _sql_births() -> str:
+    v = f"lower(trim(regexp_replace({sql_fold('age')}, {_QUIET})))"
+    first = r"'(?:^|[^0-9])((?:19|20)?[0-9][0-9])\s*\(?(?:년\s*생|\s*출생)'"
+    both = r"'((?:19|20)[0-9][0-9])\s*[-./년]\s*([0-9]+)\s*\(?\s*(?:년월생|월\s*생|출생)'"
+    bare = r"'^((?:19|20)[0-9][0-9])$'"
+    return f"""SELECT item_id, 'age' AS field_name, CASE WHEN m = '' THEN (sy - y) * 365 ELSE ((sy - y) * 12 + sm - m::INT) * 30 END
+      AS amount FROM (SELECT item_id, CASE WHEN y < 100 THEN 2000 + y ELSE y END AS y, m, substr(d, 1, 4)::INT AS sy,
+      substr(d, 5, 2)::INT AS sm FROM (SELECT item_id, regexp_replace(notice_start, '[^0-9]', '', 'g') AS d,
+        try_cast(coalesce(nullif(regexp_extract({v}, {both}, 1), ''), nullif(regexp_extract({v}, {first}, 1), ''),
+          nullif(regexp_extract({v}, {bare}, 1), '')) AS INT) AS y, regexp_extract({v}, {both}, 2) AS m
+        FROM notice_items WHERE NOT {sql_missing("age")}) WHERE length(d) = 8 AND y IS NOT NULL)"""
+
+
+@RECORDS.add(
+    "p4_found",
+    f"""SELECT item_id, field_name, round(exact)::BIGINT AS amount FROM ({_sql_amounts("weight")}) WHERE exact > 0
+    UNION ALL SELECT item_id, field_name, round(exact)::BIGINT FROM ({_sql_amounts("age")})
+    UNION ALL SELECT item_id, field_name, amount FROM ({_sql_births()})""",
+)
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     amounts = common_units(
         table(spark, sf_dir, "notice_items"),
