@@ -233,6 +233,8 @@ def text_classifier(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", (F.col("source") == "guide_page").cast("int").alias("label"))
     part = split_of(F.col("doc_id").cast("string"), "classifier")
     train, held = docs.where(part == "train"), docs.where(part != "train")
+    if train.isEmpty():
+        return spark.createDataFrame([], "axis string, auc double")
     scores = classified(fit_text_classifier(train, "doc_id", "text", "label"), held, "doc_id", "text")
     scored = scores.join(held, F.col("key") == F.col("doc_id")).select(F.lit("guide_page").alias("axis"), "label", "score")
     return roc_auc(scored, ["axis"])
