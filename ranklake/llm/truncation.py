@@ -67,7 +67,9 @@ def hidden_limits(docs: DataFrame) -> DataFrame:
 
     ``n_at`` texts lie within SLACK units below the limit, ``n_before`` is what as many units held on average just below,
     ``n_beyond`` how many lie in the ten units beyond. A limit needs 8 texts, three times those before, and at most a
-    third as many beyond. The table of lengths has one row per source, measure and length, whatever the number of texts.
+    third as many beyond. Every heap has its limit: of sizes within SLACK that see the same heap, one remains if none above
+    holds as many texts itself and none below over three times as many, so texts that leave a character unused do not hide
+    those that fill the limit. The table of lengths has one row per source, measure and length, whatever the number of texts.
     """
     return _heaps(docs.select("source", F.explode(_sizes(F.col("text"))).alias("measure", "size")))
 
@@ -80,10 +82,13 @@ def _heaps(measured: DataFrame) -> DataFrame:
     beyond = F.coalesce(F.sum("n").over(order.rangeBetween(1, 10)), F.lit(0))
     heaps = sizes.select(
         "source", "measure", F.col("size").alias("size_limit"), near.alias("n_at"), before.alias("n_before"),
-        beyond.alias("n_beyond"),
+        beyond.alias("n_beyond"), "n",
     ).where("n_at >= 8 AND n_at >= 3 * n_before AND n_beyond * 3 <= n_at")
-    best = Window.partitionBy("source", "measure").orderBy(F.desc("n_at"), F.desc("size_limit"))
-    return heaps.withColumn("place", F.row_number().over(best)).where("place <= 3").drop("place")
+    order = Window.partitionBy("source", "measure").orderBy("size_limit")
+    below = F.coalesce(F.max("n").over(order.rangeBetween(-SLACK, -1)), F.lit(0))
+    above = F.coalesce(F.max("n").over(order.rangeBetween(1, SLACK)), F.lit(0))
+    seen = heaps.withColumns({"below": below, "above": above})
+    return seen.where("below <= 3 * n AND above < n").drop("n", "below", "above")
 
 
 def _sizes(c: Column) -> Column:
@@ -210,10 +215,11 @@ def endings(docs: DataFrame) -> DataFrame:
     )
     read = stored(read, "texts")
     measured = read.select("doc_id", "source", F.explode("sizes").alias("measure", "size"))
-    limits = small_side(_heaps(measured).select("source", "measure", "size_limit"))
+    # The sizes at a limit, each once: a length meets one row however many limits a source has.
+    within = F.explode(F.sequence(F.col("size_limit") - SLACK, F.col("size_limit"))).alias("size")
+    limits = small_side(_heaps(measured).select("source", "measure", within).distinct())
     at_limit = (
-        measured.join(limits, ["source", "measure"])
-        .where((F.col("size") <= F.col("size_limit")) & (F.col("size") >= F.col("size_limit") - SLACK))
+        measured.join(limits, ["source", "measure", "size"], "left_semi")
         .select("doc_id")
         .distinct()
         .withColumn("at_limit", F.lit(True))

@@ -60,6 +60,15 @@ def test_texts_at_a_limit_need_less_evidence(spark, corpus):
     assert got[50] == (True, True) and got[51] == (False, False)
 
 
+def test_every_limit_of_a_source_is_found(spark):
+    sizes = [100] * 30 + [101, 102, 103, 104, 105] + [300] * 14 + [600] * 4 + [599] * 6
+    docs = spark.createDataFrame([(i, "lim", "가" * n, None, None) for i, n in enumerate(sizes)], SCHEMA)
+    limits = {r.size_limit for r in hidden_limits(docs).collect() if r.measure == "characters"}
+    assert limits == {100, 300, 600}
+    got = {r.doc_id: r.at_limit for r in endings(docs).collect()}
+    assert all(got[i] == (n not in range(101, 106)) for i, n in enumerate(sizes))
+
+
 def test_empty_and_long(spark, corpus):
     assert endings(spark.createDataFrame([], SCHEMA)).collect() == []
     assert hidden_limits(spark.createDataFrame([], SCHEMA)).collect() == []
