@@ -23,8 +23,8 @@ _STOP, _PAUSE, _START, _ANY = "\x02", "\x03", "\x01", "\x04"
 _BLANKS = r"[\s\p{Z}\p{Cf}]"
 #: Places where the last two words must occur before their own evidence counts, and for the last word alone words before.
 LEAST_PLACES, LEAST_PLACES_WORD = 5, 3
-#: Texts that must end with the same two words before their ends count beside places within texts.
-MANY_ENDS = 10
+#: Share of all places of two words that ends of other texts must be before they count beside places within texts.
+ENDS_COUNT_FROM = 0.1
 #: Share of places with a stop below which an ending is cut, and the same for a text at a limit.
 CUT_BELOW, CUT_BELOW_AT_LIMIT = 0.1, 0.3
 #: A limit leaves at most so many units unused: the rest of a character, or a word.
@@ -113,7 +113,10 @@ def words(c: Column) -> Column:
 
 
 def _places(docs: DataFrame) -> DataFrame:
-    """``before, word, stops, goes_on, ends``: every pair of words of the corpus and how often what follows it."""
+    """``before, word, stops, goes_on, ends``: every pair of words of the corpus and how often what follows it.
+
+    Copies of a text end there once: ``ends`` counts distinct ``digest``, the others count places.
+    """
     at = lambda i: F.get("words", i)
     place = F.transform(
         "words",
@@ -133,15 +136,22 @@ def _places(docs: DataFrame) -> DataFrame:
         ),
     )
     place = F.concat(place, labels)
-    rows = docs.select(F.explode(F.filter(place, lambda p: ~p["word"].isin(_STOP, _PAUSE))).alias("p")).select("p.*")
+    rows = docs.select("digest", F.explode(F.filter(place, lambda p: ~p["word"].isin(_STOP, _PAUSE))).alias("p"))
+    rows = rows.select("digest", "p.*")
     rows = rows.withColumn("before", F.when(F.col("before") == _STOP, _START).otherwise(F.col("before")))
     follows = F.col("next")
-    return rows.groupBy("before", "word").agg(
+    # One row a distinct text that ends there, and one for all places where more follows.
+    each = rows.groupBy("before", "word", F.when(follows.isNull(), F.col("digest")).alias("ending")).agg(
         F.count(F.when(follows == _STOP, 1)).alias("stops"),
         F.count(F.when(follows.isNotNull() & ~follows.isin(_STOP, _PAUSE), 1)).alias("goes_on"),
-        F.count(F.when(follows.isNull(), 1)).alias("ends"),
         F.count(F.lit(1)).alias("n"),
     )
+    return each.groupBy("before", "word").agg(
+        F.sum("stops").alias("stops"),
+        F.sum("goes_on").alias("goes_on"),
+        F.count("ending").alias("ends"),
+        F.sum("n").alias("n"),
+    )
 
 
 def _stop_share(tails: DataFrame, places: DataFrame) -> DataFrame:
@@ -182,11 +192,12 @@ def _stop_share(tails: DataFrame, places: DataFrame) -> DataFrame:
     # The text itself is one of those that end there.
     w_ends = F.greatest(F.col("w_ends") - 1, F.lit(0))
     w_stop = F.col("w_stops") + w_ends
-    # Texts that end there are evidence only in numbers: a few may be one cut text posted again.
-    told = F.col("stops") + F.when(F.col("ends") >= MANY_ENDS, F.col("ends")).otherwise(0)
+    # Other texts that end there are evidence only as a share of all places: cuts fall anywhere, so few fall there.
+    others = F.greatest(F.col("ends") - 1, F.lit(0))
+    told = F.col("stops") + F.when(others >= ENDS_COUNT_FROM * (F.col("stops") + on + others), others).otherwise(0)
     share = (
         F.when(F.col("stops") + on >= LEAST_PLACES, told / (told + on))
-        .when((F.col("ends") >= 2) & (on == 0), F.lit(1.0))
+        .when((others > 0) & (on == 0), F.lit(1.0))
         .when((F.col("l_stops") >= LEAST_PLACES) & (10 * F.col("l_on") <= F.col("l_stops")) & (F.col("w_longer") == 0), F.lit(1.0))
         .when((F.col("w_stops") + w_on >= LEAST_PLACES_WORD) | (w_stop >= LEAST_PLACES_WORD), w_stop / (w_stop + w_on))
     )
@@ -197,7 +208,7 @@ def endings(docs: DataFrame) -> DataFrame:
     """``doc_id, source, is_cut, reason, at_limit`` of every text, ``docs(doc_id, source, text)``.
 
     Null and empty texts are whole, as are texts without any word. Texts are read whole; rows that are repeated come out
-    repeated and count as evidence each time. An empty table gives no rows; a null source is a source.
+    repeated, but all copies of a text, blanks and a mark of the cut apart, are one text that ends there. An empty table gives no rows; a null source is a source.
     """
     base = docs.select(
         "doc_id",
@@ -212,6 +223,7 @@ def endings(docs: DataFrame) -> DataFrame:
         F.right(tail, F.lit(40)).alias("tail"),
         (without_mark(F.col("text")) != tail).alias("dotted"),
         F.right(without_mark(F.col("text")), F.lit(40)).alias("bare"),
+        F.xxhash64(F.regexp_replace(without_mark(F.col("text")), rf"{_BLANKS}+", "")).alias("digest"),
     )
     read = stored(read, "texts")
     measured = read.select("doc_id", "source", F.explode("sizes").alias("measure", "size"))

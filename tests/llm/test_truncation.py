@@ -69,6 +69,16 @@ def test_every_limit_of_a_source_is_found(spark):
     assert all(got[i] == (n not in range(101, 106)) for i, n in enumerate(sizes))
 
 
+@pytest.mark.parametrize("n", [1, 9, 30, 200])
+def test_copies_of_a_cut_text_are_no_evidence(spark, corpus, n):
+    copies = [(i, "s", "오늘도 다른 개와 잘" + " " * (i % 2), None, None) for i in range(n)]
+    lone = [(500 + i, "s", "어제 본 새로운 가" * 2, None, None) for i in range(n)]
+    whole = [(800, "s", "새로운 가족을 찾습니다. 새로운 가방도 있습니다. 새로운 가게가 있습니다.", None, None)]
+    got = {r.doc_id: r.is_cut for r in endings(spark.createDataFrame(corpus + copies + lone + whole, SCHEMA)).collect()}
+    assert all(got[i] for i in range(n)) and not got[800]
+    assert len({got[500 + i] for i in range(n)}) == 1 and got[500]
+
+
 def test_empty_and_long(spark, corpus):
     assert endings(spark.createDataFrame([], SCHEMA)).collect() == []
     assert hidden_limits(spark.createDataFrame([], SCHEMA)).collect() == []
