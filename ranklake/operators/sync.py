@@ -30,16 +30,19 @@ def sync_actions(existing: DataFrame, fresh: DataFrame, key: str, text: list[str
     return met.select(F.coalesce("e_key", "f_key").alias("key"), action.alias("action"))
 
 
-def safety_gates(actions: DataFrame, least_fresh: int = 1, most_removed: float = 0.5) -> DataFrame:
-    """``n_fresh, removed_fraction, passed``: whether a refresh looks whole enough to be applied."""
-    counts = actions.agg(
+def safety_gates(
+    actions: DataFrame, least_fresh: int = 1, most_removed: float = 0.5, by: list[str] | None = None
+) -> DataFrame:
+    """``n_fresh, removed_fraction, passed`` of each group ``by``: whether a refresh looks whole enough to be applied."""
+    by = by or []
+    counts = actions.groupBy(*by).agg(
         F.count(F.when(F.col("action") != "stale", 1)).alias("n_fresh"),
         F.count(F.when(F.col("action") == "stale", 1)).alias("gone"),
         F.count(F.when(F.col("action") != "new", 1)).alias("had"),
     )
     share = F.coalesce(F.try_divide("gone", "had"), F.lit(0.0))
     passed = (F.col("n_fresh") >= least_fresh) & (share <= most_removed)
-    return counts.select("n_fresh", F.round(share, 6).alias("removed_fraction"), passed.alias("passed"))
+    return counts.select(*by, "n_fresh", F.round(share, 6).alias("removed_fraction"), passed.alias("passed"))
 
 
 def merged(target: DataFrame, source: DataFrame, key: str, cols: list[str], fill_only: bool = False) -> DataFrame:

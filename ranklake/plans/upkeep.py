@@ -59,6 +59,55 @@ def safety_gates(spark, sf):
     return Y.safety_gates(sync_actions(spark, sf))
 
 
+# The same over the whole table: each provider's date against its own date before, of each date the last delivery.
+_DATES = """(SELECT *, lag(snapshot_date) OVER (PARTITION BY provider_id ORDER BY snapshot_date) AS earlier FROM (SELECT provider_id,
+  snapshot_date, max(delivery_no) AS delivery_no FROM notice_snapshots GROUP BY ALL))"""
+_STATES = f"""(SELECT d.provider_id, d.snapshot_date, notice_id, max(source_status) AS status, max(notice_end) AS ends
+  FROM notice_snapshots JOIN {_DATES} d USING (provider_id, snapshot_date, delivery_no) WHERE notice_id IS NOT NULL GROUP BY ALL)"""
+_ACTIONS_BY_DATE = f"""SELECT provider_id, snapshot_date, notice_id, CASE WHEN a.is_old IS NULL THEN 'new' WHEN b.is_new IS NULL
+  THEN 'stale' WHEN a.status IS DISTINCT FROM b.status AND a.ends IS DISTINCT FROM b.ends THEN 'changed_both'
+  WHEN a.status IS DISTINCT FROM b.status THEN 'changed_text' WHEN a.ends IS DISTINCT FROM b.ends THEN 'changed_picture'
+  ELSE 'retained' END AS action FROM (SELECT d.provider_id, d.snapshot_date, notice_id, status, ends, 1 AS is_old FROM {_DATES} d
+  JOIN {_STATES} s ON s.provider_id = d.provider_id AND s.snapshot_date = d.earlier) a FULL JOIN (SELECT s.*, 1 AS is_new
+  FROM {_STATES} s JOIN {_DATES} d USING (provider_id, snapshot_date) WHERE d.earlier IS NOT NULL) b
+  USING (provider_id, snapshot_date, notice_id)"""
+
+
+@UPKEEP.add("sync_actions_by_date", _ACTIONS_BY_DATE)
+def sync_actions_by_date(spark, sf):
+    rows = table(spark, sf, "notice_snapshots")
+    dates = rows.groupBy("provider_id", "snapshot_date").agg(F.max("delivery_no").alias("delivery_no"))
+    order = Window.partitionBy("provider_id").orderBy("snapshot_date")
+    dates = dates.select("*", F.lag("snapshot_date").over(order).alias("earlier"), F.lead("snapshot_date").over(order).alias("later"))
+    last = rows.where("notice_id IS NOT NULL").join(dates, ["provider_id", "snapshot_date", "delivery_no"])
+    states = last.groupBy("provider_id", "snapshot_date", "earlier", "later", "notice_id").agg(
+        F.max("source_status").alias("status"), F.max("notice_end").alias("ends")
+    )
+    key = lambda date: F.struct("provider_id", F.col(date).alias("snapshot_date"), "notice_id").alias("key")
+    side = lambda date, given: states.where(F.col(given).isNotNull()).select(key(date), "status", "ends")
+    actions = Y.sync_actions(side("later", "later"), side("snapshot_date", "earlier"), "key", ["status"], ["ends"])
+    return actions.select("key.*", "action")
+
+
+@UPKEEP.add(
+    "sync_counts_by_date",
+    f"SELECT provider_id, snapshot_date, action, count(*) AS n FROM ({_ACTIONS_BY_DATE}) GROUP BY ALL",
+)
+def sync_counts_by_date(spark, sf):
+    return sync_actions_by_date(spark, sf).groupBy("provider_id", "snapshot_date", "action").agg(F.count(F.lit(1)).alias("n"))
+
+
+@UPKEEP.add(
+    "safety_gates_by_date",
+    f"""SELECT provider_id, snapshot_date, n_fresh, round(share, 6) AS removed_fraction, n_fresh >= 1 AND share <= 0.5 AS passed
+    FROM (SELECT provider_id, snapshot_date, count(*) FILTER (WHERE action <> 'stale') AS n_fresh,
+    coalesce(count(*) FILTER (WHERE action = 'stale') / nullif(count(*) FILTER (WHERE action <> 'new'), 0), 0) AS share
+    FROM ({_ACTIONS_BY_DATE}) GROUP BY provider_id, snapshot_date)""",
+)
+def safety_gates_by_date(spark, sf):
+    return Y.safety_gates(sync_actions_by_date(spark, sf), by=["provider_id", "snapshot_date"])
+
+
 # Items of the new batches, of each number the first, are the source for those of the history.
 _MERGE_SOURCE = """(SELECT notice_id, arg_min(desc_full, item_id) AS desc_full, arg_min(color, item_id) AS color FROM (SELECT
   notice_id, item_id, coalesce(desc_full, '') AS desc_full, coalesce(color, '') AS color FROM notice_items
@@ -251,6 +300,18 @@ def incremental_append(spark, sf):
     return i.where("batch_no = 10").join(i.where("batch_no < 10").select("notice_id"), "notice_id", "left_anti").select("item_id")
 
 
+@UPKEEP.add(
+    "incremental_append_by_batch",
+    """SELECT batch_no, item_id FROM notice_items n WHERE batch_no > 0 AND NOT EXISTS (SELECT 1 FROM notice_items h
+    WHERE h.batch_no < n.batch_no AND h.notice_id = n.notice_id)""",
+)
+def incremental_append_by_batch(spark, sf):
+    i = table(spark, sf, "notice_items").select("item_id", "batch_no", "notice_id")
+    first = i.where("notice_id IS NOT NULL").groupBy("notice_id").agg(F.min("batch_no").alias("first_batch"))
+    new = i.where("batch_no > 0").join(first, "notice_id", "left")
+    return new.where("notice_id IS NULL OR batch_no = first_batch").select("batch_no", "item_id")
+
+
 @UPKEEP.add(
     "expected_and_actual",
     """SELECT coalesce(e.notice_id, a.notice_id) AS notice_id, CASE WHEN a.notice_id IS NULL THEN 'missing'
