@@ -218,6 +218,13 @@ def evidence_labels(spark, sf):
     return table(spark, sf, "documents").select("doc_id", label.alias("label"))
 
 
+@EXTRAS.add("evidence_labels_negated")
+def evidence_labels_negated(spark, sf):
+    """With the operator's own window, so that a match negated further on does not count as asserted."""
+    label = evidence_label(F.col("text"), "온순|사람을 잘 따름", "겁이 많|예민함")
+    return table(spark, sf, "documents").select("doc_id", label.alias("label"))
+
+
 @EXTRAS.add(
     "safe_links",
     """SELECT item_id, CASE WHEN regexp_matches(detail_url, '^https?://[^/?#@ ]+([/?#][^ ]*)?$') THEN detail_url END AS link
