@@ -10,16 +10,20 @@ words or more letters of the same word follow. A text at a limit needs less evid
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ranklake.session import cut, small_side, stored
 
 _STOP, _PAUSE, _START, _ANY = "\x02", "\x03", "\x01", "\x04"
+#: Sorts after every text that begins with the text before it.
+_LAST = "\U0010ffff"
 _BLANKS = r"[\s\p{Z}\p{Cf}]"
 #: Places where the last two words must occur before their own evidence counts, and for the last word alone words before.
 LEAST_PLACES, LEAST_PLACES_WORD = 5, 3
@@ -29,37 +33,135 @@ ENDS_COUNT_FROM = 0.1
 CUT_BELOW, CUT_BELOW_AT_LIMIT = 0.1, 0.3
 #: A limit leaves at most so many units unused: the rest of a character, or a word.
 SLACK = 5
+#: Nothing is as short as to lie before a heap of up to so many units, so none can be told from short texts.
+LEAST_LIMIT = 2 * (SLACK + 1)
+#: The ways in which a store may count the length of a text.
+MEASURES = (
+    "characters", "utf8_bytes", "double_byte", "entities", "entities_utf8", "json", "json_ascii", "crlf", "crlf_utf8",
+)
+
+_TAG_OPEN = re.compile(r"/?[a-z][a-z0-9]*(?:\s+[\w:-]+(?:=(?:\"[^\"]*\"?|'[^']*'?|[^\s\"'>]*))?)*\s*/?|/?", re.I)
+_TAG = re.compile(r"</?[a-z][a-z0-9]*\s*/?>", re.I)
+_ENTITY_OPEN = re.compile(r"#?[a-z0-9]{0,8}", re.I)
+_UNSEEN = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
+
+
+def _blank(c: str) -> bool:
+    return c in " \t\n\x0b\f\r" or unicodedata.category(c) in ("Zs", "Zl", "Zp", "Cf")
+
+
+def _word_character(c: str) -> bool:
+    return unicodedata.category(c)[0] in "LN"
+
+
+def tail_of(text: str) -> str:
+    """Without blanks at the end."""
+    end = len(text)
+    while end and _blank(text[end - 1]):
+        end -= 1
+    return text[:end]
+
+
+def bare_of(text: str) -> str:
+    """Without blanks at the end and without the dots that a cut may have left there; a single full stop stays."""
+    end, dots = len(text), False
+    while end:
+        c = text[end - 1]
+        if c == "." and (dots or text[max(0, end - 2)] == "." and end > 1):
+            dots = True
+        elif c != "…" and not _blank(c):
+            break
+        end -= 1
+    return text[:end]
+
+
+def sizes_of(text: str) -> list[int]:
+    """The length of a text as different stores count it, in the order of MEASURES; half a character at the end is none."""
+    text = text.rstrip("�")
+    n, octets = len(text), len(text.encode("utf-8", "surrogatepass"))
+    wide = n - len(text.encode("ascii", "ignore"))
+    quotes, breaks, returns = text.count('"'), text.count("\n"), text.count("\r")
+    entities = 4 * text.count("&") + 3 * (text.count("<") + text.count(">")) + 5 * (quotes + text.count("'"))
+    escapes = quotes + text.count("\\") + breaks + returns + text.count("\t")
+    added = breaks - returns
+    return [
+        n, octets, n + wide, n + entities, octets + entities, n + escapes, n + escapes + 5 * wide, n + added, octets + added,
+    ]
+
+
+def ending_of(text: str) -> str | None:
+    """How the whole text ends: what shows a cut by itself, "open" where the corpus has to tell, null where it is whole."""
+    tail, bare = tail_of(text), bare_of(text)
+    if not tail:
+        return None
+    if tail[-1] == "�" or "ᄀ" <= tail[-1] <= "ᇿ":
+        return "character"
+    at = tail.rfind("<")
+    if at >= 0 and ">" not in tail[at:] and _TAG_OPEN.fullmatch(tail, at + 1):
+        return "markup"
+    at = tail.rfind("&", len(tail) - 10)
+    if at >= 0 and _ENTITY_OPEN.fullmatch(tail, at + 1):
+        return "markup"
+    dotted = len(bare) < len(tail)
+    in_address = lambda t: t.rsplit(None, 1)[-1].find("://") > 0 if t else False
+    closed = tail.rstrip("\"'”’)]")
+    if not dotted and closed and not in_address(tail):
+        if closed[-1] in "!?~。" or (closed[-1] == "." and not (len(closed) > 1 and closed[-2] in "0123456789")):
+            return None
+    if not bare:
+        return "open"
+    last, before = bare[-1], bare[-2:-1]
+    if last in ",:;" and (not before or _word_character(before) or before in " \t\n\x0b\f\r"):
+        return "pause"
+    at = max(bare.rfind(c) for c in "()[]\n")
+    if 0 <= at < len(bare) - 1 and bare[at] in "([" and (at == 0 or bare[at - 1] in " \t\n\x0b\f\r"):
+        return "markup"
+    if last in "-‐–" and before and _word_character(before):
+        return "word"
+    if last == ">" and _TAG.fullmatch(bare, max(0, bare.rfind("<"))):
+        return None
+    if not dotted and last != "." and not _word_character(last) and not in_address(bare):
+        return None
+    return "open"
+
+
+def text_digest(bare: str) -> int:
+    """64 bits that stand for a text without its blanks."""
+    squeezed = "".join(_UNSEEN.sub("", bare).split())
+    return xxhash.xxh64_intdigest(squeezed.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def read_texts(c: Column) -> Column:
+    """``text, n_bare, sizes, reason, digest`` of each text in one pass; ``text`` only where composing changed it."""
+
+    @F.pandas_udf("text string, n_bare int, sizes array<int>, reason string, digest long")
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            rows = []
+            for t in texts:
+                t = t or ""
+                nfc = None if unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t)
+                t = t if nfc is None else nfc
+                bare = bare_of(t)
+                rows.append((nfc, len(bare), sizes_of(t), ending_of(t), text_digest(bare)))
+            yield pd.DataFrame(rows, columns=["text", "n_bare", "sizes", "reason", "digest"])
+
+    return read(c)
 
 
-def composed(c: Column) -> Column:
-    """Text with Hangul composed; only texts that have single letters go through Python."""
+def measured_sizes(c: Column) -> Column:
+    """The lengths of each text, in the order of MEASURES."""
 
-    @F.pandas_udf("string")
-    def nfc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("array<int>")
+    def measure(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
-
-    return F.coalesce(nfc(F.when(c.rlike("[ᄀ-ᇿ]"), c)), c)
-
-
-def lengths(c: Column) -> dict[str, Column]:
-    """The length of a text as different stores count it."""
-    c = F.regexp_replace(c, "�+$", "")
-    count = lambda pattern: F.length(F.regexp_replace(c, f"[^{pattern}]", ""))
-    chars, wide, breaks = F.length(c), F.length(F.regexp_replace(c, r"[\x00-\x7f]", "")), count("\n") - count("\r")
-    entities = 4 * count("&") + 3 * count("<>") + 5 * count("\"'")
-    escapes = count("\"\\\\\n\r\t")
-    return {
-        "characters": chars,
-        "utf8_bytes": F.octet_length(c),
-        "double_byte": chars + wide,
-        "entities": chars + entities,
-        "entities_utf8": F.octet_length(c) + entities,
-        "json": chars + escapes,
-        "json_ascii": chars + escapes + 5 * wide,
-        "crlf": chars + breaks,
-        "crlf_utf8": F.octet_length(c) + breaks,
-    }
+            yield texts.map(lambda t: None if t is None else sizes_of(t))
+
+    return measure(c)
+
+
+def _by_measure(sizes: Column) -> Column:
+    return F.map_from_arrays(F.array(*(F.lit(m) for m in MEASURES)), sizes)
 
 
 def hidden_limits(docs: DataFrame) -> DataFrame:
@@ -71,11 +173,12 @@ def hidden_limits(docs: DataFrame) -> DataFrame:
     holds as many texts itself and none below over three times as many, so texts that leave a character unused do not hide
     those that fill the limit. The table of lengths has one row per source, measure and length, whatever the number of texts.
     """
-    return _heaps(docs.select("source", F.explode(_sizes(F.col("text"))).alias("measure", "size")))
+    sized = docs.where("text IS NOT NULL").select("source", measured_sizes(F.col("text")).alias("sizes"))
+    return _heaps(sized.select("source", F.explode(_by_measure(F.col("sizes"))).alias("measure", "size")))
 
 
 def _heaps(measured: DataFrame) -> DataFrame:
-    sizes = measured.where("size >= 20").groupBy("source", "measure", "size").agg(F.count(F.lit(1)).alias("n"))
+    sizes = measured.groupBy("source", "measure", "size").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("source", "measure").orderBy("size")
     near = F.sum("n").over(order.rangeBetween(-SLACK, 0))
     before = F.coalesce(F.sum("n").over(order.rangeBetween(-8 * (SLACK + 1), -2 * (SLACK + 1) - 1)), F.lit(0)) / 6
@@ -84,6 +187,7 @@ def _heaps(measured: DataFrame) -> DataFrame:
         "source", "measure", F.col("size").alias("size_limit"), near.alias("n_at"), before.alias("n_before"),
         beyond.alias("n_beyond"), "n",
     ).where("n_at >= 8 AND n_at >= 3 * n_before AND n_beyond * 3 <= n_at")
+    heaps = heaps.where(F.col("size_limit") > LEAST_LIMIT)
     order = Window.partitionBy("source", "measure").orderBy("size_limit")
     below = F.coalesce(F.max("n").over(order.rangeBetween(-SLACK, -1)), F.lit(0))
     above = F.coalesce(F.max("n").over(order.rangeBetween(1, SLACK)), F.lit(0))
@@ -91,27 +195,22 @@ def _heaps(measured: DataFrame) -> DataFrame:
     return seen.where("below <= 3 * n AND above < n").drop("n", "below", "above")
 
 
-def _sizes(c: Column) -> Column:
-    return F.create_map(*(x for name, n in lengths(c).items() for x in (F.lit(name), n.cast("int"))))
-
-
-def without_mark(c: Column) -> Column:
-    """Without blanks at the end and without the dots that a cut may have left there."""
-    return F.regexp_replace(c, rf"(?:{_BLANKS}|…|\.(?=[.…\s]*\.)|(?<=\.)\.)+\z", "")
-
-
 def words(c: Column) -> Column:
     """The words of a text, with a mark where a sentence, line or item ends and one where it pauses; digits are all 0."""
-    c = F.regexp_replace(c, r"(?i)</?[a-z][a-z0-9]*\s*/?>", "\n")
+    c = F.when(c.contains("<"), F.regexp_replace(c, r"(?i)</?[a-z][a-z0-9]*\s*/?>", "\n")).otherwise(c)
     c = F.regexp_replace(c, r"[0-9]", "0")
     c = F.regexp_replace(c, r"[\[\]()\"'“”‘’<>{}]", " ")
     c = F.regexp_replace(c, rf"[.!?~…。;♥]+(?=\s|\z)|(?<=\s|^)[^\p{{L}}\p{{N}}\s#,:{_STOP}]+(?=\s|\z)|[\n\r]+", f" {_STOP} ")
     c = F.regexp_replace(c, r"[,:]+(?=\s|\z)", f" {_PAUSE} ")
-    c = F.regexp_replace(c, rf"(?:\s*{_STOP}\s*)+", f" {_STOP} ")
     every = F.filter(F.split(c, rf"{_BLANKS}+"), lambda w: w != "")
     return F.transform(every, lambda w: F.when(w.startswith("http"), F.translate(w, "abcdef", "000000")).otherwise(w))
 
 
+def _single_stops(every: Column) -> Column:
+    """Of several stops in a row the first."""
+    return F.filter(every, lambda w, i: (w != _STOP) | (i == 0) | (F.get(every, i - 1) != _STOP))
+
+
 def _places(docs: DataFrame) -> DataFrame:
     """``before, word, stops, goes_on, ends``: every pair of words of the corpus and how often what follows it.
 
@@ -154,21 +253,36 @@ def _places(docs: DataFrame) -> DataFrame:
     )
 
 
+def _longer(keys: list[str], at: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``keys, longer``: what the places of all words that go on after a wanted word sum up to.
+
+    Words that begin with a wanted word follow it in order. So both are sorted together and the sum up to the wanted word
+    is taken from the sum up to the last word that may begin with it. No prefixes are made, so a word of a million letters
+    costs what it is long. Sorted apart by what stands before and by the first letter, only where a word is wanted.
+    """
+    ahead, first = keys[:-1], F.substring("word", 1, 1).alias("first")
+    wanted = wanted.withColumn("first", first)
+    rows = at.select(*keys, first, "n").join(wanted.select(*ahead, "first").distinct(), [*ahead, "first"], "left_semi")
+    rows = rows.select(*ahead, "first", F.col("word").alias("sorted"), F.lit(0).alias("kind"), "n")
+    edge = lambda end, kind: wanted.select(
+        *ahead, "first", F.concat("word", F.lit(end)).alias("sorted"), F.lit(kind).alias("kind"), F.lit(0).cast("long").alias("n")
+    )
+    order = Window.partitionBy(*ahead, "first").orderBy("sorted", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    summed = rows.unionByName(edge("", 1)).unionByName(edge(_LAST, 2)).withColumn("upto", F.sum("n").over(order))
+    word = F.when(F.col("kind") == 2, F.substring("sorted", 1, F.length("sorted") - 1)).otherwise(F.col("sorted"))
+    spans = summed.where("kind > 0").select(*ahead, "first", word.alias("word"), "kind", "upto")
+    return spans.groupBy(*ahead, "first", "word").agg(
+        (F.max(F.when(F.col("kind") == 2, F.col("upto"))) - F.max(F.when(F.col("kind") == 1, F.col("upto")))).alias("longer")
+    ).drop("first")
+
+
 def _stop_share(tails: DataFrame, places: DataFrame) -> DataFrame:
     """``before, word, label, stop_share`` of the distinct tails; null where the corpus does not tell."""
 
     def counted(keys: list[str], at: DataFrame) -> DataFrame:
         wanted = tails.select(*keys).distinct()
-        shorter = F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda k: F.substring("word", 1, k)))
-        longer = (
-            at.where("length(word) > 1")
-            .select(*keys[:-1], shorter.alias("word"), "n")
-            .join(wanted, keys, "left_semi")
-            .groupBy(*keys)
-            .agg(F.sum("n").alias("longer"))
-        )
         own = at.join(wanted, keys, "left_semi").select(*keys, "stops", "goes_on", "ends")
-        return wanted.join(own, keys, "left").join(longer, keys, "left").na.fill(0)
+        return wanted.join(own, keys, "left").join(_longer(keys, at, wanted), keys, "left").na.fill(0)
 
     # Of a word alone not places count but the words before it, so that one frequent phrase does not speak for all.
     only_ends = (F.col("ends") > 0) & (F.col("stops") == 0) & (F.col("goes_on") == 0)
@@ -207,60 +321,40 @@ def _stop_share(tails: DataFrame, places: DataFrame) -> DataFrame:
 def endings(docs: DataFrame) -> DataFrame:
     """``doc_id, source, is_cut, reason, at_limit`` of every text, ``docs(doc_id, source, text)``.
 
-    Null and empty texts are whole, as are texts without any word. Texts are read whole; rows that are repeated come out
-    repeated, but all copies of a text, blanks and a mark of the cut apart, are one text that ends there. An empty table gives no rows; a null source is a source.
+    Null and empty texts are whole, as are texts without any word. Texts are read whole, however long; rows that are
+    repeated come out repeated, but all copies of a text, blanks and a mark of the cut apart, are one text that ends
+    there. An empty table gives no rows; a null source is a source.
     """
-    base = docs.select(
-        "doc_id",
-        F.coalesce(F.col("source"), F.lit("")).alias("source"),
-        F.col("source").isNull().alias("no_source"),
-        F.coalesce(composed(F.col("text")), F.lit("")).alias("text"),
-    )
-    sizes = _sizes(F.col("text"))
-    tail = F.regexp_replace("text", rf"{_BLANKS}+\z", "")
-    read = base.select(
-        "doc_id", "source", "no_source", sizes.alias("sizes"), words(without_mark(F.col("text"))).alias("words"),
-        F.right(tail, F.lit(40)).alias("tail"),
-        (without_mark(F.col("text")) != tail).alias("dotted"),
-        F.right(without_mark(F.col("text")), F.lit(40)).alias("bare"),
-        F.xxhash64(F.regexp_replace(without_mark(F.col("text")), rf"{_BLANKS}+", "")).alias("digest"),
+    read = docs.select("doc_id", "source", "text", read_texts(F.col("text")).alias("r"))
+    read = read.select(
+        "doc_id", F.coalesce(F.col("source"), F.lit("")).alias("source"), F.col("source").isNull().alias("no_source"),
+        "r.sizes", "r.reason", "r.digest",
+        words(F.substring(F.coalesce("r.text", "text", F.lit("")), F.lit(1), F.col("r.n_bare"))).alias("words"),
     )
+    read = read.withColumn("words", _single_stops(F.col("words")))
     read = stored(read, "texts")
-    measured = read.select("doc_id", "source", F.explode("sizes").alias("measure", "size"))
-    # The sizes at a limit, each once: a length meets one row however many limits a source has.
+    sized = read.select("source", F.explode(_by_measure(F.col("sizes"))).alias("measure", "size"))
+    # The sizes at a limit, one row a source: the limits of a source are few, whatever the number of its texts.
     within = F.explode(F.sequence(F.col("size_limit") - SLACK, F.col("size_limit"))).alias("size")
-    limits = small_side(_heaps(measured).select("source", "measure", within).distinct())
-    at_limit = (
-        measured.join(limits, ["source", "measure", "size"], "left_semi")
-        .select("doc_id")
-        .distinct()
-        .withColumn("at_limit", F.lit(True))
-    )
-    tail, bare, dotted = F.col("tail"), F.col("bare"), F.col("dotted")
-    reason = (
-        F.when(tail == "", F.lit(None))
-        .when(tail.rlike("�\\z|[ᄀ-ᇿ]\\z"), "character")
-        .when(tail.rlike(r"(?i)<(?:/?[a-z][^<>]*|/)?\z|&(?:#?[a-z0-9]{0,8})\z"), "markup")
-        .when(~dotted & tail.rlike(r"""(?:[!?~。]|(?<!\d)\.)["'”’)\]]*\z""") & ~tail.rlike(r"(?i)\S+://\S*\z"), None)
-        .when(bare.rlike(r"[\p{L}\p{N}\s][,:;]\z|^[,:;]\z"), "pause")
-        .when(bare.rlike(r"(?:^|\s)[(\[][^()\[\]\n]{1,30}\z"), "markup")
-        .when(bare.rlike(r"[\p{L}\p{N}][-‐–]\z"), "word")
-        .when(bare.rlike(r"(?i)</?[a-z][a-z0-9]*\s*/?>\z"), None)
-        .when(~dotted & bare.rlike(r"[^\p{L}\p{N}.]\z") & ~bare.rlike(r"(?i)\S+://\S*\z"), None)
-        .otherwise("open")
-    )
-    judged = read.select(
-        "doc_id", "source", "no_source", reason.alias("reason"), F.try_element_at("words", F.lit(-1)).alias("word"),
+    limits = _heaps(sized).select("source", "measure", within)
+    limits = limits.groupBy("source").agg(F.collect_set(F.struct("measure", "size")).alias("limits"))
+    limits = small_side(limits)
+    own = F.transform(F.map_entries(_by_measure(F.col("sizes"))), lambda e: F.struct(e["key"].alias("measure"), e["value"].alias("size")))
+    at_limit = F.coalesce(F.arrays_overlap(own, F.col("limits")), F.lit(False))
+    judged = read.join(limits, "source", "left").select(
+        "doc_id", "source", "no_source", "reason", at_limit.alias("at_limit"),
+        F.try_element_at("words", F.lit(-1)).alias("word"),
         F.coalesce(F.try_element_at("words", F.lit(-2)), F.lit(_START)).alias("before"),
         F.concat(F.coalesce(F.try_element_at("words", F.lit(-3)), F.lit("")), F.lit(_PAUSE)).alias("label"),
-    ).withColumn("label", F.when(F.col("before") == _PAUSE, F.col("label")).otherwise("")).withColumn("before", F.when(F.col("before") == _STOP, _START).otherwise(F.col("before")))
+    )
+    judged = judged.withColumn("label", F.when(F.col("before") == _PAUSE, F.col("label")).otherwise(""))
+    judged = judged.withColumn("before", F.when(F.col("before") == _STOP, _START).otherwise(F.col("before")))
     is_open = (F.col("reason") == "open") & F.col("word").isNotNull() & ~F.col("word").isin(_STOP, _PAUSE)
     places = cut(_places(read))
     tails = cut(judged.where(is_open).select("before", "word", "label").distinct())
     shares = small_side(_stop_share(tails, places))
-    judged = judged.join(shares, ["before", "word", "label"], "left").join(at_limit, "doc_id", "left")
-    at = F.col("at_limit").isNotNull()
-    share = F.col("stop_share")
+    judged = judged.join(shares, ["before", "word", "label"], "left")
+    at, share = F.col("at_limit"), F.col("stop_share")
     ends_open = is_open & (
         (share < CUT_BELOW) | (at & (share < CUT_BELOW_AT_LIMIT)) | (at & share.isNull())
     )

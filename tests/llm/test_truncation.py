@@ -3,7 +3,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from ranklake.llm.truncation import composed, cut_rates, endings, hidden_limits, lengths, without_mark, words
+from ranklake.llm.truncation import MEASURES, _single_stops, bare_of, cut_rates, ending_of, endings, hidden_limits, measured_sizes, read_texts, words
 
 SENTENCES = ["밥을 잘 먹고 있습니다", "다른 개와 잘 지냅니다", "산책을 아주 좋아합니다"]
 SCHEMA = "doc_id int, source string, text string, is_cut boolean, size int"
@@ -91,8 +91,7 @@ def test_empty_and_long(spark, corpus):
 def test_lengths(spark):
     text = '가a"&\n<b>\r\n�'
     df = spark.createDataFrame([(text,)], "t string")
-    names = lengths(F.col("t"))
-    got = df.select(*(c.alias(n) for n, c in names.items())).first().asDict()
+    got = dict(zip(MEASURES, df.select(measured_sizes(F.col("t"))).first()[0], strict=True))
     kept = text.rstrip("�")
     assert got["characters"] == len(kept) and got["utf8_bytes"] == len(kept.encode())
     assert got["double_byte"] == len(kept.encode("cp949"))
@@ -102,9 +101,31 @@ def test_lengths(spark):
 
 
 def test_helpers(spark):
-    df = spark.createDataFrame([("a b.. ",), ("a b.",), ("a… …",), ("나",)], "t string")
-    assert [r[0] for r in df.select(without_mark(F.col("t"))).collect()] == ["a b", "a b.", "a", "나"]
+    assert [bare_of(t) for t in ("a b.. ", "a b.", "a… …", "나", "a. ..", "a.…", "..")] == ["a b", "a b.", "a", "나", "a", "a.", ""]
     nfd = spark.createDataFrame([(unicodedata.normalize("NFD", "각"),), ("x",), (None,)], "t string")
-    assert [r[0] for r in nfd.select(composed(F.col("t"))).collect()] == ["각", "x", None]
+    assert [r[0].text for r in nfd.select(read_texts(F.col("t"))).collect()] == ["각", None, None]
     line = spark.createDataFrame([("A b, 12. c\n- d",)], "t string")
-    assert line.select(words(F.col("t"))).first()[0] == ["A", "b", "\x03", "00", "\x02", "c", "\x02", "d"]
+    parts = line.select(words(F.col("t")).alias("w")).select(_single_stops(F.col("w"))).first()[0]
+    assert parts == ["A", "b", "\x03", "00", "\x02", "c", "\x02", "d"]
+
+
+def test_whole_texts_are_inspected():
+    far = "가" * 500
+    assert ending_of(f"글 ({far} 나") == "markup" and ending_of(f"글 ({far}) 나") == "open"
+    assert ending_of(f'글 <a href="{far}') == "markup" and ending_of(f"글 https://{far}.") == "open"
+
+
+def test_limits_of_few_units(spark):
+    sizes = [1] * 40 + [14] * 40 + [60] * 40 + [120] * 40 + [200] * 40 + [400] * 40
+    docs = spark.createDataFrame([(i, "lim", "가" * n, None, None) for i, n in enumerate(sizes)], SCHEMA)
+    limits = {r.size_limit for r in hidden_limits(docs).collect() if r.measure == "characters"}
+    assert limits == {14, 60, 120, 200, 400}
+
+
+def test_words_of_any_length(spark, corpus):
+    rows = [
+        (1, "s", "밥을 잘 " + "a" * 1_000_000, None, None), (2, "s", "밥을 잘 " + "a" * 999_999 + " 먹고 있습니다.", None, None),
+        (3, "s", ". " * 50_000 + "밥을 잘", None, None), (4, "s", "밥을 잘 먹고 있습니다." + " " * 200_000, None, None),
+    ]
+    got = {r.doc_id: r.is_cut for r in endings(spark.createDataFrame(corpus + rows, SCHEMA)).collect() if r.doc_id < 9}
+    assert got == {1: False, 2: False, 3: True, 4: False}
