@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ranklake.functions.text import is_missing, notice_number
-from ranklake.llm.batch_dedup import check_batch, signatures
+from ranklake.llm.batch_dedup import History, check_batch, signatures
 from ranklake.llm.canonical_map import map_to_list, mapped_rows, reference_names
 from ranklake.llm.mixing import selection, shares
 from ranklake.llm.packing import packed, packing_report
@@ -17,7 +17,7 @@ from ranklake.llm.truncation import cut_rates, endings, hidden_limits
 from ranklake.operators.packed_values import packed_values
 from ranklake.plans.records import color_names
 from ranklake.plans.registry import Registry, table
-from ranklake.session import bounded_rows, cut
+from ranklake.session import bounded_rows, cut, stored
 
 LLM = Registry()
 
@@ -59,22 +59,22 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapped_rows(values, mapping).select(F.col("field").alias("field_name"), "row_id", "ref_id")
 
 
-def item_signatures(spark: SparkSession, sf_dir: str, items: DataFrame) -> DataFrame:
-    return signatures(
+@LLM.add("p3_found")
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The accepted history, then the new batches, in order of the items' ids, against what the history left accepted."""
+    items = table(spark, sf_dir, "notice_items")
+    is_new = F.when(F.coalesce(F.col("batch_no"), F.lit(0)) == 0, 0).otherwise(1)
+    signed = signatures(
         items,
         F.col("item_id"),
         notice_number(F.col("notice_id")),
         F.col("image_urls"),
         table(spark, sf_dir, "stock_images").select("image_url"),
+        is_new,
     )
-
-
-@LLM.add("p3_found")
-def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "notice_items")
-    is_old = F.coalesce(F.col("batch_no"), F.lit(0)) == 0
-    old_pairs, history = check_batch(item_signatures(spark, sf_dir, items.where(is_old)), None)
-    new_pairs, _ = check_batch(item_signatures(spark, sf_dir, items.where(~is_old)), history)
+    signed = stored(signed, "signed", ["batch"])
+    old_pairs, history = check_batch(signed.where("batch = 0"), History.new(spark))
+    new_pairs, _ = check_batch(signed.where("batch = 1"), history)
     return old_pairs.unionByName(new_pairs)
 
 
