@@ -1,20 +1,32 @@
-"""Freely typed values mapped to the entries of a reference list."""
+"""Freely typed values mapped to the entries of a reference list.
+
+Every distinct value is normalised into readings; each reading asks a character n-gram inverted index over the names of the
+list, which gives the weighted cosine with every name that shares an n-gram. The entry of the highest cosine is taken if it
+is above a threshold and leads any other entry by a margin; as an exact check its letters are compared at the end.
+
+The index holds the reference list, whose size is bounded, so every task builds it for itself from the list; the values,
+whose number has no bound, are spread over all tasks and never come together.
+"""
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ranklake.operators.ngram_index import edit_distance, indexed_cosine, with_distance
-from ranklake.session import bounded_rows, cut, small_side
+from ranklake.operators.ngram_index import edit_distance
+from ranklake.session import bounded_rows, small_side
 
 #: Most names (labels and aliases together) that a reference list may have.
 MOST_NAMES = 100_000
+#: Least cosine of an entry, and its least lead over any other entry.
+THRESHOLD, MARGIN = 0.2, 0.02
 
 # Words beside a name that say how sure, where or how much, and endings of places.
 BESIDE = frozenset(
@@ -40,24 +52,29 @@ def tight(text: str) -> str:
     return re.sub(r"[\s-]+", "", text)
 
 
-def readings(value: str) -> dict[str, bool]:
+def readings(value: str, longest: int) -> dict[str, bool]:
     """Texts under which the value may be in the list, best first: all of it, without words beside it, runs of words.
 
-    The first two may be misspelt (True), a run of words must be a name as it is (False).
+    The first two may be misspelt (True), a run of words must be a name as it is (False); runs longer than the ``longest``
+    name, in letters, can be none.
     """
     text = plain(value)
     words = [w for w in re.split(r"[\s-]+" if re.search("[가-힣]", text) else r"\s+", text) if w]
     core = [w for w in words if w not in BESIDE and not BESIDE_PATTERN.fullmatch(w)]
     if len(words) > 1:
         core = [re.sub(r"(?<=[가-힣]{2})에$", "", w) for w in core]
-    runs = sorted(
-        ((b - a, -a, "".join(core[a:b])) for a in range(len(core)) for b in range(a + 1, min(len(core), a + 6) + 1)),
-        reverse=True,
-    )
+    runs = []
+    for a in range(len(core)):
+        run = ""
+        for b in range(a, len(core)):
+            run += tight(core[b])
+            if len(run) > longest:
+                break
+            runs.append((b - a, -a, run))
     out = {tight(text): True, tight("".join(core)): True}
-    for *_, r in runs:
-        if len(r) > 1:
-            out.setdefault(tight(r), False)
+    for *_, run in sorted(runs, reverse=True):
+        if len(run) > 1:
+            out.setdefault(run, False)
     return {t: near for t, near in out.items() if t}
 
 
@@ -78,19 +95,97 @@ def letters_apart(a: str, b: str) -> float:
     return edit_distance(a, b, swap=0.9, twin=0.9, differs=other_letter)
 
 
-def _read(c: Column) -> Column:
-    @F.pandas_udf("array<struct<text:string,jamo:string,near:boolean>>")
-    def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for values in batches:
-            yield values.map(
-                lambda v: [{"text": t, "jamo": jamo(t), "near": n} for t, n in readings(v).items()] if v else []
-            )
+def grams(text: str, sizes: tuple[int, ...] = (1, 2, 3)) -> Counter:
+    """All n-grams of a text between marks for its ends; of size 1, the characters without marks."""
+    marked = f"^{text}$"
+    out = Counter(text) if 1 in sizes else Counter()
+    for n in sizes:
+        if n > 1:
+            out.update(marked[i : i + n] for i in range(len(marked) - n + 1))
+    return out
+
+
+class NameIndex:
+    """The inverted lists of the names of one field: for each n-gram the names that have it, with weights.
+
+    A gram weighs ``ln(1 + N / df)`` over the N names, one that no name has as much as the rarest could.
+    """
 
-    return read(c)
+    def __init__(self, names: list[tuple[str, str]]) -> None:
+        self.names = [n for n, _ in names]
+        self.entries = [i for _, i in names]
+        self.longest = max(map(len, self.names))
+        counts = [grams(jamo(n)) for n in self.names]
+        df = Counter(g for c in counts for g in c)
+        self.idf = {g: float(np.log1p(len(names) / n)) for g, n in df.items()}
+        self.unknown = float(np.log1p(len(names)))
+        norms = [np.sqrt(sum((tf * self.idf[g]) ** 2 for g, tf in c.items())) for c in counts]
+        lists: dict[str, list[tuple[int, float]]] = {}
+        for k, c in enumerate(counts):
+            for g, tf in c.items():
+                lists.setdefault(g, []).append((k, tf * self.idf[g] / norms[k]))
+        self.lists = {g: (np.array([k for k, _ in x]), np.array([w for _, w in x])) for g, x in lists.items()}
+
+    def cosines(self, text: str, only_exact: bool) -> np.ndarray | None:
+        """The weighted cosine of a text with each name; ``only_exact`` stops at the first gram that no name has."""
+        asked = grams(jamo(text))
+        if only_exact and any(g not in self.idf for g in asked):
+            return None
+        total, ids, weights = 0.0, [], []
+        for g, tf in asked.items():
+            w = tf * self.idf.get(g, self.unknown)
+            total += w * w
+            if g in self.lists:
+                k, v = self.lists[g]
+                ids.append(k)
+                weights.append(v * w)
+        if not ids:
+            return None
+        return np.bincount(np.concatenate(ids), np.concatenate(weights), len(self.names)) / np.sqrt(total)
+
+    def meaning(self, value: str, threshold: float, margin: float, most_apart: float) -> tuple[str, float | None, float | None]:
+        """``ref_id, cosine, apart``: the entry of the highest cosine, "none" if it is too low, too close or too far apart."""
+        found: dict[str, list[tuple[float, str, str]]] = {}
+        for text, near in readings(value, self.longest).items():
+            cosines = self.cosines(text, not near)
+            if cosines is None:
+                continue
+            for k in np.flatnonzero(cosines >= (threshold if near else 1 - 1e-9)):
+                if cosines[k] >= 1 - 1e-9 and text == self.names[k]:
+                    return self.entries[k], 1.0, 0.0
+                if near:
+                    found.setdefault(self.entries[k], []).append((float(cosines[k]), text, self.names[k]))
+        if not found:
+            return "none", None, None
+        ranked = sorted(((max(c for c, *_ in x), e) for e, x in found.items()), key=lambda x: (-x[0], x[1]))
+        cosine, entry = ranked[0]
+        if len(ranked) > 1 and cosine - ranked[1][0] < margin:
+            return "none", None, None
+        # The exact check: one of the names of the entry has nearly the same letters.
+        spare = lambda name: max(most_apart, len(jamo(name)) // 16)
+        close = [
+            letters_apart(t, n) for _, t, n in found[entry] if abs(len(jamo(t)) - len(jamo(n))) <= 3 * spare(n)
+            and letters_apart(t, n) <= spare(n)
+        ]
+        return (entry, cosine, min(close)) if close else ("none", None, None)
+
+
+_BUILT: dict[tuple, dict[str, NameIndex]] = {}
+
+
+def _indexes(names: tuple[tuple[str, str, str], ...]) -> dict[str, NameIndex]:
+    """The index of each field, built once a process."""
+    if names not in _BUILT:
+        fields: dict[str, list[tuple[str, str]]] = {}
+        for field, name, entry in names:
+            fields.setdefault(field, []).append((name, entry))
+        _BUILT.clear()
+        _BUILT[names] = {f: NameIndex(n) for f, n in fields.items()}
+    return _BUILT[names]
 
 
 def reference_names(refs: DataFrame, place_fields: tuple[str, ...] = ()) -> DataFrame:
-    """``field, ref_id, name, jamo`` of a reference list ``field_name, ref_id, label, label_en, aliases``.
+    """``field, ref_id, name`` of a reference list ``field_name, ref_id, label, label_en, aliases``.
 
     Aliases are parted by bars. In ``place_fields`` a name also counts without the ending that tells the kind of place.
     The list is refused beyond MOST_NAMES rows. A name that stands for two entries goes to the one of the lower id.
@@ -108,7 +203,7 @@ def reference_names(refs: DataFrame, place_fields: tuple[str, ...] = ()) -> Data
                 if tight(form):
                     names.setdefault((r.field_name, tight(form)), r.ref_id)
     return refs.sparkSession.createDataFrame(
-        [(f, i, n, jamo(n)) for (f, n), i in names.items()], "field string, ref_id string, name string, jamo string"
+        [(f, i, n) for (f, n), i in names.items()], "field string, ref_id string, name string"
     )
 
 
@@ -116,60 +211,36 @@ def map_to_list(
     values: DataFrame,
     names: DataFrame,
     *,
-    threshold: float = 0.2,
-    margin: float = 0.02,
+    threshold: float = THRESHOLD,
+    margin: float = MARGIN,
     most_apart: float = 1.0,
 ) -> DataFrame:
     """The entry of a reference list that each value means: ``field, value, ref_id, cosine, apart``.
 
-    ``values(field, value)`` are deduplicated and normalised; ``names`` as ``reference_names`` gives them. A value one of
-    whose readings is a name has cosine 1. For the others, candidates come from a character n-gram inverted index over
-    the letters (Hangul taken apart), scored by weighted cosine; a candidate needs a cosine of ``threshold``, a lead of
-    ``margin`` over any other entry that is as few letters apart, and as an exact check at most ``most_apart`` weighted
-    edits (for names of 8 letters or more one edit more per 8 letters). What has none gets ``ref_id`` "none". Null
-    values are left out, blank ones get "none"; an empty table gives no rows; repeated values come out once. Values in a
-    field without entries get "none".
+    ``values(field, value)`` are deduplicated and normalised; ``names`` as ``reference_names`` gives them. Candidates come
+    from a character n-gram inverted index over the letters (Hangul taken apart), scored by weighted cosine. The entry of
+    the highest cosine needs a cosine of ``threshold``, a lead of ``margin`` over any other entry, and as an exact check at
+    most ``most_apart`` weighted edits (for names of 16 letters or more one for each 16). What has none gets ``ref_id``
+    "none". Null values are left out, blank ones get "none"; an empty table gives no rows; repeated values come out once.
+    Values in a field without entries get "none".
     """
+    spark = values.sparkSession
+    listed = tuple(sorted((r.field, r.name, r.ref_id) for r in bounded_rows(names, 3 * MOST_NAMES)))
+
+    def meant(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        indexes = _indexes(listed)
+        for b in batches:
+            found = [
+                indexes[f].meaning(v, threshold, margin, most_apart) if f in indexes else ("none", None, None)
+                for f, v in zip(b.field, b.value, strict=True)
+            ]
+            yield pd.concat([b, pd.DataFrame(found, columns=["ref_id", "cosine", "apart"], index=b.index)], axis=1)
+
     distinct = values.where("value IS NOT NULL AND field IS NOT NULL").select("field", "value").distinct()
-    read = cut(distinct.withColumn("readings", _read(F.col("value"))))
-    named = F.broadcast(names)
-    exact = (
-        read.select("field", "value", F.posexplode("readings").alias("pos", "r"))
-        .select("field", "value", "pos", F.col("r.text").alias("name"))
-        .join(named.select("field", "name", "ref_id"), ["field", "name"])
-        .groupBy("field", "value")
-        .agg(F.min(F.struct("pos", "ref_id"))["ref_id"].alias("ref_id"))
-    )
-    exact = cut(exact)
-    rest = read.join(exact, ["field", "value"], "left_anti").select(
-        "field", "value", F.explode("readings").alias("r")
-    )
-    rest = cut(rest.where("r.near AND length(r.text) >= 2").select("field", "value", F.col("r.jamo").alias("text")))
-    near = indexed_cosine(rest, names.select("field", "ref_id", F.col("jamo").alias("name")), (1, 2, 3))
-    allowed = F.greatest(F.lit(most_apart), F.floor(F.length("name") / F.lit(16)).cast("double"))
-    # An edit changes the length by a syllable's three letters at most, so longer differences are out without counting.
-    near = near.where((F.col("cosine") >= threshold) & (F.abs(F.length("text") - F.length("name")) <= 3 * allowed))
-    # A number of partitions of its own: few rows, but each pair costs Python time.
-    near = near.repartition(read.sparkSession.sparkContext.defaultParallelism)
-    near = with_distance(near, "text", "name", "apart", letters_apart)
-    pair = Window.partitionBy("field", "value")
-    scored = (
-        rest.join(near.where(F.col("apart") <= allowed), ["field", "text"])
-        .groupBy("field", "value", "ref_id")
-        .agg(F.max(F.struct(-F.col("apart"), "cosine")).alias("s"))
-        .select("field", "value", "ref_id", (-F.col("s.col1")).alias("apart"), F.col("s.cosine").alias("cosine"))
-    )
-    chosen = (
-        scored.withColumn("least", F.min("apart").over(pair))
-        .where(F.col("apart") <= F.col("least") + 0.05)
-        .withColumn("place", F.row_number().over(pair.orderBy(F.desc("cosine"), "ref_id")))
-        .withColumn("lead", F.col("cosine") - F.lead("cosine").over(pair.orderBy(F.desc("cosine"), "ref_id")))
-        .where((F.col("place") == 1) & (F.col("lead").isNull() | (F.col("lead") >= margin)))
-    )
-    found = exact.select("field", "value", "ref_id", F.lit(1.0).alias("cosine"), F.lit(0.0).alias("apart")).unionByName(
-        chosen.select("field", "value", "ref_id", "cosine", "apart")
-    )
-    return read.select("field", "value").join(found, ["field", "value"], "left").na.fill("none", ["ref_id"])
+    # A number of partitions of its own: the values are short, so they would all be put together, but each costs time.
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shape = "field string, value string, ref_id string, cosine double, apart double"
+    return distinct.repartition(tasks, "value").mapInPandas(meant, shape)
 
 
 def mapped_rows(rows: DataFrame, mapping: DataFrame) -> DataFrame:

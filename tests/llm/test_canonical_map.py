@@ -80,6 +80,13 @@ def test_empty_tables_and_long_values(spark, names):
     assert row.ref_id == "none"
 
 
+def test_names_of_many_words(spark):
+    refs = [("f", "1", "a b c d e f g h", None, None), ("f", "2", "ij", None, None)]
+    names = reference_names(spark.createDataFrame(refs, "field_name string, ref_id string, label string, label_en string, aliases string"))
+    values = spark.createDataFrame([("f", "it is a b c d e f g h or so"), ("f", "z")], "field string, value string")
+    assert {r.value[:2]: r.ref_id for r in map_to_list(values, names).collect()} == {"it": "1", "z": "none"}
+
+
 def test_rows(spark, names):
     rows = spark.createDataFrame(
         [("color", 1, "갈색"), ("color", 1, "갈색"), ("color", 2, "갈색"), ("place", 1, "x")],
@@ -91,6 +98,7 @@ def test_rows(spark, names):
 
 
 def test_helpers():
-    assert readings("[개] 믹스견")["믹스견"] and not readings("a b c d").get("bc")
+    assert readings("[개] 믹스견", 9)["믹스견"] and not readings("a b c d", 9).get("bc")
+    assert "abc" not in readings("x a b c", 2) and "bc" in readings("x a b c", 2)
     assert letters_apart("감정색", "검정색") == pytest.approx(0.8)
     assert letters_apart("abc", "acb") == pytest.approx(0.9)
