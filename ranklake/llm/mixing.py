@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ranklake.session import bounded_rows, cut
@@ -54,14 +54,13 @@ def blocks(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, buckets: int = 64,
     )
 
 
-def draws(
-    targets: list[tuple[str, str, float, int]], tokens: dict[str, int], block_tokens: int, shards: int, seed: int
-) -> list[tuple[str, int, str, int, int, int]]:
-    """``(mix, shard, source, slots, first slot of the source, blocks of the source)``, with targets
-    ``(mix, source, share, most repeats)``.
+def plans_of(
+    targets: list[tuple[str, str, float, int]], tokens: dict[str, int], block_tokens: int, shards: int
+) -> list[tuple[str, int, list[tuple[str, int, int]]]]:
+    """``(mix, number of shards, [(source, slots, blocks)])``, with targets ``(mix, source, share, most repeats)``.
 
     A mix is as large as its scarcest source allows. Targets of sources without tokens are spread over the others in
-    proportion. There are ``shards`` shards, more if they would have over SLOTS_IN_SHARD slots. The draw of a shard is multinomial over what each source has left, so the totals are met exactly.
+    proportion. There are ``shards`` shards, more if they would have over SLOTS_IN_SHARD slots.
     """
     out = []
     for mix in sorted({t[0] for t in targets}):
@@ -74,24 +73,77 @@ def draws(
         # A source's last block may be short: its tokens, not its slots, have to meet the share.
         mean = {s: tokens[s] / n_blocks[s] for s, _, _ in here}
         slots = {s: min(r * n_blocks[s], round(total * w / whole / mean[s])) for s, w, r in here}
-        names = [s for s, _, _ in here]
-        left = np.array([slots[s] for s in names], dtype=np.int64)
-        used = np.zeros(len(names), dtype=np.int64)
-        rng = np.random.Generator(np.random.PCG64([seed, int(hashlib.sha256(mix.encode()).hexdigest()[:8], 16)]))
-        all_slots = int(left.sum())
-        n_shards = max(shards, -(-all_slots // SLOTS_IN_SHARD))
-        for shard in range(n_shards):
-            size = all_slots * (shard + 1) // n_shards - all_slots * shard // n_shards
-            drawn = np.zeros(len(names), dtype=np.int64)
-            while (missing := size - int(drawn.sum())) > 0:
-                open_ = left - drawn
-                drawn += np.minimum(rng.multinomial(missing, open_ / open_.sum()), open_)
-            out += [
-                (mix, shard, s, int(n), int(u), n_blocks[s])
-                for s, n, u in zip(names, drawn, used, strict=True)
-                if n
-            ]
-            left, used = left - drawn, used + drawn
+        n_shards = max(shards, -(-sum(slots.values()) // SLOTS_IN_SHARD))
+        out.append((mix, n_shards, [(s, slots[s], n_blocks[s]) for s, _, _ in here]))
+    return out
+
+
+def _part(left: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of ``size`` slots drawn from ``left`` each source gets, source by source from what is left of it."""
+    out, rest = np.zeros(len(left), dtype=np.int64), int(left.sum())
+    for k, have in enumerate(left.tolist()):
+        others = rest - have
+        if not have or not size:
+            n = 0
+        elif not others:
+            n = size
+        elif rest < 1_000_000_000:  # the bound of the exact draw; beyond it a normal one differs by less than a slot in a million
+            n = int(rng.hypergeometric(have, others, size))
+        else:
+            share = have / rest
+            spread = (size * share * (1 - share) * ((rest - size) / (rest - 1))) ** 0.5
+            n = round(rng.normal(size * share, spread))
+        out[k] = n = min(max(n, size - others, 0), have, size)
+        rest, size = others, size - n
+    return out
+
+
+def shard_draw(key: int, slots: np.ndarray, n_shards: int, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The slots of each source in a shard, and how many it has in the shards before.
+
+    The range of shards is halved again and again; at each halving the multinomial draw, conditioned on the totals, gives
+    the slots of the lower half. Each draw depends on the seed and on the range only, so every task finds the same ones,
+    no shard needs the draws of the others, and all add up to the totals.
+    """
+    low, high, left = 0, n_shards, slots.astype(np.int64)
+    used = np.zeros(len(slots), dtype=np.int64)
+    every = int(slots.sum())
+    upto = lambda k: every * k // n_shards
+    while high - low > 1:
+        middle = (low + high) // 2
+        rng = np.random.Generator(np.random.PCG64([seed, key, low, high]))
+        lower = _part(left, upto(middle) - upto(low), rng)
+        if shard < middle:
+            high, left = middle, lower
+        else:
+            low, left, used = middle, left - lower, used + lower
+    return left, used
+
+
+def draws(spark: SparkSession, plans: list[tuple[str, int, list[tuple[str, int, int]]]], seed: int) -> DataFrame:
+    """``mix_name, shard_no, source, n_slots, first_slot, n_blocks`` of every shard, drawn in tasks by shard number."""
+    shape = "mix_name string, shard_no int, source string, n_slots long, first_slot long, n_blocks long"
+    out = spark.createDataFrame([], shape)
+    for mix, n_shards, sources in plans:
+        key = int(hashlib.sha256(mix.encode()).hexdigest()[:8], 16)
+        slots = np.array([n for _, n, _ in sources], dtype=np.int64)
+
+        def drawn(
+            batches: Iterator[pd.DataFrame], mix=mix, n_shards=n_shards, sources=sources, key=key, slots=slots
+        ) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                rows = []
+                for shard in b.id.tolist():
+                    left, used = shard_draw(key, slots, n_shards, shard, seed)
+                    rows += [
+                        (mix, shard, s, int(n), int(u), blocks_of)
+                        for (s, _, blocks_of), n, u in zip(sources, left, used, strict=True)
+                        if n
+                    ]
+                names = ["mix_name", "shard_no", "source", "n_slots", "first_slot", "n_blocks"]
+                yield pd.DataFrame(rows, columns=names)
+
+        out = out.unionByName(spark.range(n_shards).mapInPandas(drawn, shape))
     return out
 
 
@@ -138,10 +190,7 @@ def selection(
     asked = sorted({s for _, s, _, _ in wanted})
     used = cut(docs.where(F.col("source").isin(asked)).select("doc_id", "source", "n_tokens"))
     tokens = {r.source: r.n for r in used.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
-    drawn = spark.createDataFrame(
-        draws(wanted, {s: n or 0 for s, n in tokens.items()}, block_tokens, shards, seed),
-        "mix_name string, shard_no int, source string, n_slots long, first_slot long, n_blocks long",
-    )
+    drawn = draws(spark, plans_of(wanted, {s: n or 0 for s, n in tokens.items()}, block_tokens, shards), seed)
 
     @F.pandas_udf("long")
     def block_of(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
@@ -149,8 +198,7 @@ def selection(
             yield pd.Series(permuted(index.to_numpy(), size.to_numpy(), key.to_numpy()), dtype="int64")
 
     slots = (
-        drawn.repartition("mix_name", "shard_no", "source")
-        .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_slots") - 1)).alias("i"))
+        drawn.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_slots") - 1)).alias("i"))
         .withColumn("k", F.col("first_slot") + F.col("i"))
         .withColumn("use_no", (F.floor(F.col("k") / F.col("n_blocks")) + 1).cast("int"))
         .withColumn("key", F.xxhash64("mix_name", "source", "use_no", F.lit(seed)))

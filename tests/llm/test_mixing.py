@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ranklake.llm.mixing import blocks, draws, permuted, selection, shares
+from ranklake.llm.mixing import _part, blocks, permuted, plans_of, selection, shard_draw, shares
 from ranklake.llm.tokens import counter, n_tokens
 
 DOCS = "doc_id long, source string, n_tokens long, block_no int, key string"
@@ -74,9 +74,26 @@ def test_permutations(size):
 
 
 def test_draws_meet_totals():
-    got = draws([("m", "a", 0.5, 1), ("m", "b", 0.5, 9), ("m", "c", 0.0, 9)], {"a": 1000, "b": 300, "c": 5}, 10, 7, 1)
-    assert sum(n for _, _, s, n, _, _ in got if s == "a") == 100 and {s for _, _, s, *_ in got} == {"a", "b"}
-    assert sum(n for _, _, s, n, _, _ in got if s == "b") == 100
+    ((mix, n_shards, sources),) = plans_of(
+        [("m", "a", 0.5, 1), ("m", "b", 0.5, 9), ("m", "c", 0.0, 9)], {"a": 1000, "b": 300, "c": 5}, 10, 7
+    )
+    assert (mix, n_shards, sources) == ("m", 7, [("a", 100, 100), ("b", 100, 30)])
+    slots, before = np.array([100, 100]), np.zeros(2)
+    for shard in range(7):
+        got, used = shard_draw(5, slots, 7, shard, 1)
+        assert (used == before).all() and got.sum() in (28, 29)
+        before = before + got
+    assert (before == slots).all()
+
+
+def test_a_million_shards_and_large_totals():
+    slots = np.array([7 * 10**10, 3 * 10**10, 5])
+    for shard in (0, 777_777, 1_525_878):
+        got, used = shard_draw(5, slots, 1_525_879, shard, 1)
+        assert got.sum() in (65_535, 65_536) and abs(got[0] / got.sum() - 0.7) < 0.01 and (used <= slots).all()
+    rng = np.random.default_rng(1)
+    mean = np.mean([_part(np.array([600, 300, 100]), 50, rng) for _ in range(2000)], axis=0)
+    assert np.allclose(mean, [30, 15, 5], atol=0.5)
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model"])
