@@ -15,6 +15,11 @@ SERVING_PARAMETERS = (
 _SIZE_STEP = r"(?:[whqcf]_[a-z0-9]+(?:,[a-z]+_[a-z0-9]+)*|resize[-_=]?\d+(?:x\d+)?|thumbs?|thumbnails?|\d+x\d+)"
 _SIZE_MARK = r"[_-](?:xs|s|m|l|xl|thumb|thumbnail|small|medium|large|\d+x\d+)"
 _SHAPE = r"^\s*(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)(:\d+)?([^?#]*)(?:\?([^#]*))?"
+#: Addresses already in the one form after their scheme: nothing in them is to be folded, dropped or ordered.
+_SETTLED = (
+    r"^https?://(?:[a-z0-9-]+\.)+[a-z0-9-]*[a-z0-9](?:/(?!(?:thumbs?|thumbnails?|resize\d*(?:x\d+)?|\d+x\d+)/)[a-z0-9]+)+"
+    r"(?:\.[a-z0-9]{1,5})?(?:\?(?!(?:" + "|".join(SERVING_PARAMETERS) + r")=)[a-z0-9]+=[A-Za-z0-9]+)?\z"
+)
 
 
 def picture_key(url: Column) -> Column:
@@ -42,7 +47,8 @@ def picture_key(url: Column) -> Column:
     )
     query = F.array_join(F.array_sort(kept), "&")
     whole = F.concat(host, port, stem, ending, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
-    return F.when(host != "", whole)
+    settled = F.substring_index(url, "://", -1)
+    return F.when(url.rlike(_SETTLED), settled).otherwise(F.when(host != "", whole))
 
 
 _PRIVATE = (
