@@ -30,15 +30,22 @@ def encoded(c: Column, load: Callable[[], Encoder]) -> Column:
 
 
 def projected(c: Column, matrix: list[list[float]]) -> Column:
-    """The vector times a fixed matrix, given by its rows, at length 1; stays inside the JVM."""
-    rows = [
-        F.aggregate(
-            F.zip_with(c.cast("array<double>"), F.array(*(F.lit(float(x)) for x in row)), lambda a, b: a * b),
-            F.lit(0.0),
-            lambda s, x: s + x,
-        )
-        for row in matrix
-    ]
-    raw = F.array(*rows)
-    n = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(n > 1e-12, F.transform(raw, lambda x: x / n))
+    """The vector times a fixed matrix, given by its rows, at length 1; a matrix product for each Arrow batch.
+
+    Null where the vector is null, is not as long as the rows or comes out as zero.
+    """
+    by = np.asarray(matrix, dtype=np.float64)
+
+    @F.pandas_udf("array<double>")
+    def project(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for vectors in batches:
+            fits = [i for i, v in enumerate(vectors) if v is not None and len(v) == by.shape[1]]
+            out = pd.Series([None] * len(vectors), index=vectors.index, dtype=object)
+            if fits:
+                found = np.stack([vectors.iloc[i] for i in fits]).astype(np.float64) @ by.T
+                norms = np.sqrt((found * found).sum(axis=1))
+                for i, v, n in zip(fits, found, norms, strict=True):
+                    out.iloc[i] = v / n if n > 1e-12 else None
+            yield out
+
+    return project(c)

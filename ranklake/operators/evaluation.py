@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ranklake.functions.vocabulary import RBO_DEPTH, RBO_PERSISTENCE
+from ranklake.operators.statistics import in_parts
+
+
+def exact_mean(c: Column) -> Column:
+    """The mean of values of six decimals, summed exactly, so it does not depend on the order; rounded to six."""
+    return F.round(F.avg(c.cast("decimal(20,6)")), 6).cast("double")
 
 
 def judged(run: DataFrame, qrels: DataFrame, least_grade: float = 1.0) -> DataFrame:
@@ -77,13 +83,16 @@ def average_precision(run: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
 def roc_auc(scored: DataFrame, by: list[str]) -> DataFrame:
     """Area under the curve, ties count half: ``scored(..., label, score)``; null without both classes.
 
-    Rows are counted by score before any order is needed.
+    Rows are counted by score, then the scores in ranges between approximate quantiles, so no group is in one task.
     """
     each = scored.groupBy(*by, "score").agg(F.sum("label").alias("p"), F.count(F.lit(1)).alias("n"))
-    each = each.withColumn("q", F.col("n") - F.col("p"))
-    lower = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    each = each.withColumn("below", F.coalesce(F.sum("q").over(lower), F.lit(0)))
-    won = F.sum(F.col("p") * (F.col("below") + F.col("q") / 2))
+    each = in_parts(each.withColumn("q", F.col("n") - F.col("p")), by, "score")
+    sizes = each.groupBy(*by, "part").agg(F.sum("q").alias("k"))
+    earlier = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("before", F.coalesce(F.sum("k").over(earlier), F.lit(0))).drop("k")
+    lower = Window.partitionBy(*by, "part").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("own", F.coalesce(F.sum("q").over(lower), F.lit(0))).join(sizes, [*by, "part"])
+    won = F.sum(F.col("p") * (F.col("own") + F.col("before") + F.col("q") / 2))
     return each.groupBy(*by).agg(F.round(F.try_divide(won, F.sum("p") * F.sum("q")), 6).alias("auc"))
 
 

@@ -31,6 +31,12 @@ _METRICS = f"""SELECT system_id, query_id, round(h5 / 5.0, 6) AS precision_5, ro
     GROUP BY query_id) USING (query_id)"""
 
 
+def _exact(c: str) -> str:
+    """The mean of values of six decimals, as a whole number of millionths so that no order of summation matters."""
+    total = f"sum(round({c} * 1000000)::HUGEINT)"
+    return f"((({total} * 2 + count({c})) // (2 * count({c})))::DOUBLE / 1000000)"
+
+
 @EVALUATION.add("ranking_metrics", _METRICS)
 def ranking_metrics(spark, sf):
     return E.ranking_metrics(runs(spark, sf), qrels(spark, sf))
@@ -38,12 +44,12 @@ def ranking_metrics(spark, sf):
 
 @EVALUATION.add(
     "system_metrics",
-    f"""SELECT system_id, round(avg(precision_5), 6) AS precision_5, round(avg(recall_10), 6) AS recall_10,
-    round(avg(ndcg_5), 6) AS ndcg_5, round(avg(reciprocal_rank), 6) AS mrr, count(*) AS n_queries
+    f"""SELECT system_id, {_exact("precision_5")} AS precision_5, {_exact("recall_10")} AS recall_10,
+    {_exact("ndcg_5")} AS ndcg_5, {_exact("reciprocal_rank")} AS mrr, count(*) AS n_queries
     FROM ({_METRICS}) GROUP BY system_id""",
 )
 def system_metrics(spark, sf):
-    mean = lambda c, name: F.round(F.avg(c), 6).alias(name)
+    mean = lambda c, name: E.exact_mean(F.col(c)).alias(name)
     return ranking_metrics(spark, sf).groupBy("system_id").agg(
         mean("precision_5", "precision_5"), mean("recall_10", "recall_10"), mean("ndcg_5", "ndcg_5"),
         mean("reciprocal_rank", "mrr"), F.count(F.lit(1)).alias("n_queries"),
@@ -58,10 +64,10 @@ def system_metrics(spark, sf):
 )
 def latency_summary(spark, sf):
     each = table(spark, sf, "ranking_run").groupBy("system_id", "query_id").agg(F.max("latency_ms").alias("ms"))
-    return each.groupBy("system_id").agg(
-        F.round(F.avg("ms"), 6).alias("mean_ms"), F.round(F.percentile("ms", F.lit(0.5)), 6).alias("p50_ms"),
-        F.round(F.percentile("ms", F.lit(0.95)), 6).alias("p95_ms"), F.max("ms").alias("greatest_ms"),
-    )
+    q = S.quantiles(each, ["system_id"], "ms", [0.5, 0.95]).groupBy("system_id")
+    at = lambda s: F.round(F.max(F.when(F.col("share") == s, F.col("quantile"))), 6)
+    mean = each.groupBy("system_id").agg(F.round(F.avg("ms"), 6).alias("mean_ms"), F.max("ms").alias("greatest_ms"))
+    return mean.join(q.agg(at(0.5).alias("p50_ms"), at(0.95).alias("p95_ms")), "system_id")
 
 
 def _sql_ndcg(gain: str, k: int) -> str:
@@ -314,15 +320,39 @@ def cluster_sums(spark, sf):
     return S.cluster_sums(table(spark, sf, "events"), "user_id", F.col("value")).withColumn("total", F.round("total", 6))
 
 
-@EVALUATION.add("bootstrap_interval")
+_U = "('0x' || substr(md5('bootstrap|' || cluster || '|' || sample), 1, 8))::BIGINT / 4294967296.0"
+
+
+@EVALUATION.add(
+    "bootstrap_interval",
+    f"""WITH s AS (SELECT event_type, user_id AS cluster, sum(value) AS total, count(value) AS n FROM events GROUP BY ALL),
+    d AS (SELECT *, {_U} AS u FROM s, (SELECT unnest(range(1, 1001)) AS sample)),
+    w AS (SELECT *, {" + ".join(f"(u >= {t})::INT" for t in S._POISSON)} AS times FROM d),
+    m AS (SELECT event_type, sum(times * total) / sum(times * n) AS mean FROM w WHERE times > 0 GROUP BY event_type, sample
+      HAVING sum(times * n) > 0),
+    t AS (SELECT event_type, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high, count(*) AS b,
+      least(count(*) FILTER (WHERE mean <= 0), count(*) FILTER (WHERE mean >= 0)) AS k FROM m GROUP BY event_type)
+    SELECT event_type, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high,
+      round(least(1, 2 * (k + 1) / (b + 1)), 6) AS p FROM t JOIN (SELECT event_type, sum(total) / sum(n) AS mean FROM s
+      GROUP BY event_type) USING (event_type)""",
+)
 def bootstrap_interval(spark, sf):
     rows = table(spark, sf, "events").groupBy("event_type", F.col("user_id").alias("cluster"))
     return S.bootstrap_interval(rows.agg(F.sum("value").alias("total"), F.count("value").alias("n")), ["event_type"])
 
 
-@EVALUATION.add("permutation_p")
+@EVALUATION.add(
+    "permutation_p",
+    f"""WITH d AS (SELECT query_id, round(b.ndcg_5 - a.ndcg_5, 6)::DECIMAL(18, 9) AS d FROM ({_METRICS}) a JOIN ({_METRICS}) b
+      USING (query_id) WHERE a.system_id = '{_L}' AND b.system_id = '{_R}'),
+    s AS (SELECT sample, sum(CASE WHEN substr(md5('flip|' || query_id || '|' || sample), 1, 1) < '8' THEN -d ELSE d END) AS s
+      FROM d, (SELECT unnest(range(1, 100001)) AS sample) WHERE d <> 0 GROUP BY sample)
+    SELECT '{_L}|{_R}' AS pair, CASE WHEN count(*) FILTER (WHERE d <> 0) = 0 THEN 1.0 ELSE round(((SELECT count(*) FROM s WHERE
+      abs(s) >= (SELECT abs(sum(d)) FROM d)) + 1) / 100001.0, 6) END AS p FROM d HAVING count(*) > 0""",
+)
 def permutation_p(spark, sf):
-    return S.permutation_p(metric_deltas(spark, sf).withColumn("pair", F.lit(f"{_L}|{_R}")), ["pair"], "delta")
+    rows = metric_deltas(spark, sf).withColumn("pair", F.lit(f"{_L}|{_R}"))
+    return S.permutation_p(rows, ["pair"], "query_id", "delta")
 
 
 @EVALUATION.add(

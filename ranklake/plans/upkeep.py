@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ranklake.operators import splits as P
+from ranklake.operators import statistics as S
 from ranklake.operators import sync as Y
 from ranklake.operators.notices import notice_date
 from ranklake.plans.notices import REFERENCE, SQL_TYPED, sql_date, typed
@@ -249,12 +250,13 @@ def gallery_groups(spark, sf):
     AS median_capped, round(count(*) FILTER (WHERE value > 15) / count(*), 6) AS share_over FROM events GROUP BY event_type""",
 )
 def trial_summary(spark, sf):
-    capped = F.least("value", F.lit(15.0))
-    return table(spark, sf, "events").groupBy("event_type").agg(
+    e = table(spark, sf, "events").withColumn("capped", F.least("value", F.lit(15.0)))
+    out = e.groupBy("event_type").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("n_users"),
-        F.round(F.percentile(capped, F.lit(0.5)), 6).alias("median_capped"),
         F.round(F.count(F.when(F.col("value") > 15, 1)) / F.count(F.lit(1)), 6).alias("share_over"),
     )
+    median = S.quantiles(e, ["event_type"], "capped", [0.5])
+    return out.join(median.select("event_type", F.round("quantile", 6).alias("median_capped")), "event_type")
 
 
 @UPKEEP.add(
@@ -264,7 +266,8 @@ def trial_summary(spark, sf):
 )
 def paired_conditions(spark, sf):
     e = table(spark, sf, "events").where("event_type IN ('click', 'view')")
-    wide = e.groupBy("user_id").pivot("event_type", ["click", "view"]).agg(F.percentile("value", F.lit(0.5)))
+    medians = S.quantiles(e, ["user_id", "event_type"], "value", [0.5])
+    wide = medians.groupBy("user_id").pivot("event_type", ["click", "view"]).agg(F.max("quantile"))
     return wide.dropna().select("user_id", F.round(F.col("click") - F.col("view"), 6).alias("delta"))
 
 
@@ -454,7 +457,7 @@ def set_algebra(spark, sf):
 )
 def revenue_by_nation(spark, sf):
     orders = table(spark, sf, "orders").where("o_orderdate >= TIMESTAMP_NTZ '1997-01-01' AND o_orderdate < TIMESTAMP_NTZ '1998-01-01'")
-    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sum(F.expr("l_extendedprice * (1 - l_discount)")).alias("r"))
+    lines = table(spark, sf, "lineitem").join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi").groupBy("l_orderkey").agg(F.sum(F.expr("l_extendedprice * (1 - l_discount)")).alias("r"))
     met = orders.join(lines, F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     met = met.join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name")
     return met.agg(F.round(F.sum("r"), 2).alias("revenue"), F.count(F.lit(1)).alias("n_orders"))

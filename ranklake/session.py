@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -10,6 +12,11 @@ from pyspark.sql import functions as F
 
 #: Most rows a side may have to be broadcast; with the slim rows used here that is a few MB.
 BROADCAST_ROWS = 50_000
+#: And most bytes of its texts, lists and numbers together, written out.
+BROADCAST_BYTES = 32 * 1024 * 1024
+
+#: Tables written in this session that ``clean`` may remove.
+_WRITTEN: list[str] = []
 
 
 def local_session(cores: str = "*", partitions: int = 8, app: str = "ranklake") -> SparkSession:
@@ -28,16 +35,34 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "ranklake")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a local one is made only where that is unset."""
+    """The folder all executors share, from ``spark.checkpoint.dir``.
+
+    Only a session on one machine may go without: it gets a folder that is removed when Python ends. On a cluster a
+    folder of one machine would be lost with it, so there the setting is required.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-        folder = folder.rsplit("/", 1)[0] if folder else tempfile.mkdtemp(prefix="ranklake-")
+        set_before = spark.sparkContext.getCheckpointDir()
+        if set_before:
+            return set_before.rsplit("/", 1)[0]
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="ranklake-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def clean(spark: SparkSession) -> int:
+    """Remove the tables that ``stored`` wrote in this session, when no result that reads them is needed any more."""
+    done = 0
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        done += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return done
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and forget how it was made; survives the loss of executors."""
     shared_folder(df.sparkSession)
@@ -47,15 +72,18 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame, name: str = "table", partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: a cut that keeps column pruning."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, materialised and counted; with the hint to broadcast it only if it has at most ``most`` rows."""
+def small_side(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, materialised and measured; with the hint to broadcast it only if it has few rows and few bytes."""
     df = cut(df)
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    size = F.octet_length(F.to_json(F.struct(*df.columns)))
+    rows, written = df.limit(most + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if rows <= most and written <= most_bytes else df
 
 
 def bounded_rows(df: DataFrame, most: int) -> list:

@@ -162,13 +162,33 @@ def test_statistics(spark):
     a = statistics.bootstrap_interval(sums, ["g"], 200).first()
     b = statistics.bootstrap_interval(sums.repartition(5), ["g"], 200).first()
     assert a == b and a.low < a.mean < a.high
-    d = spark.createDataFrame([("g", 1.0)] * 12 + [("h", (-1.0) ** i) for i in range(12)], "g string, d double")
-    got = {r.g: r.p for r in statistics.permutation_p(d, ["g"], "d").collect()}
-    assert got["g"] < 0.01 and got["h"] == 1.0
+    rows = [("g", i, 1.0) for i in range(12)] + [("h", i, (-1.0) ** i) for i in range(12)] + [("z", 1, 0.0), (None, 1, 0.5), ("g", 99, None)]
+    d = spark.createDataFrame(rows, "g string, k int, d double")
+    got = {r.g: r.p for r in statistics.permutation_p(d, ["g"], "k", "d", 4000).collect()}
+    assert got["g"] < 0.01 and got["h"] == 1.0 and got["z"] == 1.0 and got[None] == 1.0
     n = {r.g: (r.deviation, r.mean) for r in statistics.seeds_summary(spark.createDataFrame([("a", 1.0)], "g string, d double"), ["g"], F.col("d")).collect()}
     assert n == {"a": (0.0, 1.0)}
 
 
+def test_quantiles_and_parts_against_sorting(spark):
+    rng = np.random.default_rng(3)
+    values = {"a": rng.normal(size=3000).round(2), "b": np.array([7.0]), None: rng.exponential(size=500), "c": np.array([1.0, 2.0])}
+    rows = [(g, float(v)) for g, vs in values.items() for v in vs] + [("a", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    shares = [0.0, 0.25, 0.5, 0.95, 1.0]
+    got = {(r.g, r.share): r.quantile for r in statistics.quantiles(df, ["g"], "v", shares).collect()}
+    assert got == {(g, q): pytest.approx(np.quantile(vs, q)) for g, vs in values.items() for q in shares}
+    p = spark.createDataFrame([(g, str(i), float(abs(v) % 1)) for g, vs in values.items() for i, v in enumerate(vs)], "f string, name string, p double")
+    found = {(r.f, r.name): r.adjusted for r in statistics.holm(p, ["f"]).collect()}
+    for g, vs in values.items():
+        order = sorted((float(abs(v) % 1), str(i)) for i, v in enumerate(vs))
+        so_far = 0.0
+        for k, (x, name) in enumerate(order):
+            so_far = max(so_far, min(1.0, (len(order) - k) * x))
+            assert found[g, name] == pytest.approx(so_far)
+    assert statistics.quantiles(df.limit(0), ["g"], "v", [0.5]).collect() == []
+
+
 def test_random_precision_against_permutations(spark):
     from itertools import permutations
 
