@@ -58,7 +58,6 @@ FACET_LABELS = {
 #: A label counts only outside the words of the more specific one.
 BROADER = {"coat_color": ("tan", "brown"), "body_size_hint": ("tiny", "small")}
 
-CLOSED_TOKENS = ("종료", "입양", "반환", "자연사", "안락사", "기증")
 HARD_CLOSED_TOKENS = ("종료", "반환", "자연사", "안락사", "기증")
 ADOPTION_OPEN_TOKENS = ("입양대기", "입양가능", "입양문의")
 ACTIVE_TOKENS = ("보호중", "공고중", "보호")
@@ -72,3 +71,4 @@ COMPATIBILITY_WEIGHT, QUALITY_WEIGHT = 0.25, 0.05
 FEATURE_WEIGHTS = {"region": 1.15, "shelter": 1.15, "status": 1.15, "notice": 1.15, "trait": 1.0, "sex": 1.0, "age": 1.0,
                    "photo": 1.0, "temperament": 0.65, "neuter": 0.45, "breed": 0.35}
 OTHER_FEATURE_WEIGHT = 0.75
+GRAPH_WEIGHTS = {"place": 0.32, "features": 0.18, "none": 0.05}

@@ -49,8 +49,14 @@ def candidate_union(parts: dict[str, DataFrame]) -> DataFrame:
     return rows.groupBy("key").agg(*most).select("key.query_id", "key.doc_id", *names)
 
 
-def fused(pool: DataFrame, weights: dict[str, float] | None = None, scaled: tuple[str, ...] = ("bm25", "prior")) -> DataFrame:
-    """``pool`` with the weighted sum ``score``; the ``scaled`` parts are first divided by their greatest in the query."""
+def fused(
+    pool: DataFrame,
+    weights: dict[str, float] | None = None,
+    scaled: tuple[str, ...] = ("bm25", "prior"),
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """``query_id, doc_id, score`` and the columns to ``keep``: the weighted sum of the parts that ``pool`` has; the
+    ``scaled`` parts are first divided by their greatest in the query."""
     weights = weights or FUSION_WEIGHTS
     most = pool.groupBy("query_id").agg(*(F.max(c).alias(f"most_{c}") for c in scaled if c in pool.columns))
     rows = pool.join(most, "query_id")
@@ -61,7 +67,7 @@ def fused(pool: DataFrame, weights: dict[str, float] | None = None, scaled: tupl
             if name in scaled:
                 part = F.coalesce(F.try_divide(part, F.col(f"most_{name}")), F.lit(0.0))
             total = total + part * w
-    return rows.select("query_id", "doc_id", total.alias("score"))
+    return rows.select("query_id", "doc_id", total.alias("score"), *keep)
 
 
 def reciprocal_ranks(runs: DataFrame, weights: dict[str, float] | None = None, k: int = RRF_K) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ranklake.plans.evaluation import EVALUATION
 from ranklake.plans.extras import EXTRAS
+from ranklake.plans.flagship import HYBRID
 from ranklake.plans.notices import NOTICES
 from ranklake.plans.records import RECORDS
 from ranklake.plans.registry import Registry
@@ -13,6 +14,6 @@ from ranklake.plans.upkeep import UPKEEP
 
 CORE = Registry()
 FLAGSHIP = "hybrid_top"
-for part in (RECORDS, NOTICES, RETRIEVAL, EVALUATION, UPKEEP, EXTRAS, STREAMS):
+for part in (RECORDS, NOTICES, RETRIEVAL, EVALUATION, UPKEEP, EXTRAS, HYBRID, STREAMS):
     for name, plan in part.plans.items():
         CORE.add(name, part.sql.get(name))(plan)

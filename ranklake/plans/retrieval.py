@@ -308,9 +308,9 @@ def _fused(spark, sf, weights=None):
     return fusion.fused(pool, weights).withColumn("score", F.round("score", 6))
 
 
-@RETRIEVAL.add("hybrid_top", _sql_top(_FUSED_SQL, "score", 10))
-def hybrid_top(spark, sf):
-    """The flagship: words and vectors of every query against all documents, fused, the ten best of each."""
+@RETRIEVAL.add("vector_word_top", _sql_top(_FUSED_SQL, "score", 10))
+def vector_word_top(spark, sf):
+    """Words and vectors of every query against all documents, fused, the ten best of each."""
     return lexical.top_k(_fused(spark, sf), "score", 10)
 
 
