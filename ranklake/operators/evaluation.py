@@ -80,6 +80,25 @@ def average_precision(run: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
     return out.join(relevant, "query_id", "left").select("system_id", "query_id", F.round(share, 6).alias("ap"))
 
 
+def truncated_metrics(run: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
+    """Precision by the lesser of k and the length of the ranking, nDCG@k of gain 2^grade - 1 against all judgments, and the
+    reciprocal rank of the first relevant document within k."""
+    rows = judged(run, qrels)
+    gain = F.pow(F.lit(2.0), F.col("grade")) - 1
+    top = F.col("rank") <= k
+    each = rows.groupBy("system_id", "query_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.when(top, F.col("hit")).otherwise(0)).alias("hits"),
+        F.sum(F.when(top, gain / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("dcg"),
+        F.min(F.when(top & (F.col("hit") == 1), F.col("rank"))).alias("first"),
+    )
+    each = each.join(_ideal(qrels, k, gain), "query_id", "left")
+    zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
+    return each.select(
+        "system_id", "query_id", zero(F.col("hits") / F.least(F.lit(k), F.col("n"))).alias("precision"),
+        zero(F.try_divide("dcg", F.nullif("ideal", F.lit(0.0)))).alias("ndcg"), zero(F.lit(1.0) / F.col("first")).alias("rr"),
+    )
+
+
 def roc_auc(scored: DataFrame, by: list[str]) -> DataFrame:
     """Area under the curve, ties count half: ``scored(..., label, score)``; null without both classes.
 

@@ -108,3 +108,9 @@ def profile_rerank(candidates: DataFrame) -> DataFrame:
     final = base + F.col("compatibility") * COMPATIBILITY_WEIGHT + F.coalesce(F.col("quality"), F.lit(0.0)) * QUALITY_WEIGHT
     order = Window.partitionBy("query_id").orderBy(F.desc("final"), F.desc("score"), F.desc("doc_id"))
     return candidates.withColumn("final", final).withColumn("rank", F.row_number().over(order))
+
+
+def conservative(probability: Column, label: Column, desired: int = 1, band: float = 0.2) -> Column:
+    """1 where the wanted label is explicit, 0 where its opposite is, else 0.5 and at most the band to either side."""
+    p = F.least(F.lit(1.0), F.greatest(F.lit(0.0), probability if desired == 1 else 1 - probability))
+    return F.when(label == desired, 1.0).when(label == -desired, 0.0).otherwise(0.5 + band * (2 * p - 1))
