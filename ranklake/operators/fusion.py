@@ -114,3 +114,8 @@ def conservative(probability: Column, label: Column, desired: int = 1, band: flo
     """1 where the wanted label is explicit, 0 where its opposite is, else 0.5 and at most the band to either side."""
     p = F.least(F.lit(1.0), F.greatest(F.lit(0.0), probability if desired == 1 else 1 - probability))
     return F.when(label == desired, 1.0).when(label == -desired, 0.0).otherwise(0.5 + band * (2 * p - 1))
+
+
+def candidate_depth(k: Column, most: int = 50) -> Column:
+    """How many candidates a re-ranking of k looks at: five times as many, at most ``most``."""
+    return F.least(F.lit(most).cast("long"), F.greatest(k, 5 * k))

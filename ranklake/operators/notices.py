@@ -163,10 +163,10 @@ def labelled_text(fields: dict[str, Column]) -> Column:
     return F.concat_ws(", ", *(F.concat(F.lit(f"{label} "), known(c)) for label, c in fields.items()))
 
 
-def asserted(c: Column, hints: Iterable[str], before: str = r"(?:안|못|not|no)\s*", after: str = r"\s*(?:않|없|아니|못)") -> Column:
-    """Whether a hint occurs without a negation just before or after it."""
+def asserted(c: Column, hints: Iterable[str], before: str = "안|못|not|no", after: str = "않|없|아니|못") -> Column:
+    """Whether a hint occurs without a negation just before it or within 8 characters after it."""
     words = "|".join(hints)
-    return F.coalesce(F.lower(c).rlike(rf"(?<!{before[:-3]}\s{{0,3}})(?:{words})(?!.{{0,8}}{after})"), F.lit(False))
+    return F.coalesce(F.lower(c).rlike(rf"(?<!(?:{before})\s{{0,3}})(?:{words})(?!.{{0,8}}\s*(?:{after}))"), F.lit(False))
 
 
 def whole_word(c: Column, label: Column) -> Column:

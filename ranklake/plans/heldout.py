@@ -282,7 +282,7 @@ def side_by_side(spark, sf):
 @HELDOUT.add(
     "axis_means",
     """SELECT query_id, notice_id AS doc_id, count(DISTINCT system_id) AS n_axes, round(avg(s), 6) AS mean_score FROM (SELECT query_id, notice_id, system_id,
-    max(score) AS s FROM ranking_run WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY ALL) GROUP BY ALL""",
+    max(score) FILTER (WHERE NOT isnan(score)) AS s FROM ranking_run GROUP BY ALL) WHERE s IS NOT NULL GROUP BY ALL""",
 )
 def axis_means(spark, sf):
     each = table(spark, sf, "ranking_run").where("score IS NOT NULL AND NOT isnan(score)").groupBy("query_id", "notice_id", "system_id").agg(F.max("score").alias("s"))

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-from dataclasses import dataclass
-from pathlib import Path
+import io
+import zipfile
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ranklake.functions.text import is_missing
 
@@ -32,7 +30,6 @@ def notices_json(spark: SparkSession, path: str, species: str | None = None) ->
     """
     files = spark.read.format("binaryFile").load(path)
     text = F.decode("content", "utf-8")
-    items = f"array<struct<{NOTICE_SCHEMA.replace(' ', ':', 1).replace(', ', ',')}>>"
     items = "array<struct<" + ",".join(x.strip().replace(" ", ":", 1) for x in NOTICE_SCHEMA.split(",")) + ">>"
     wrapped = F.get_json_object(text, "$.items")
     body = F.coalesce(wrapped, text)
@@ -64,14 +61,15 @@ def checked_csv(
 ) -> DataFrame:
     """A CSV whose header, types, keys and rules hold; with ``expected`` keys, exactly those.
 
-    Raises ContractError naming what is broken. The checks are aggregates and anti joins; no row comes to the driver.
+    The header of the first file is compared here, that of every other one by Spark as it reads. Raises ContractError naming what is broken. The checks are aggregates and anti joins; no row comes to the driver.
     """
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
     header = spark.read.text(path).limit(1).first()
     found = [h.strip().strip('"') for h in header.value.lstrip("﻿").split(",")] if header else []
     if found != names:
         raise ContractError(f"header {found}, declared {names}")
-    df = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").option("encoding", "UTF-8").csv(path)
+    df = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").option("enforceSchema", False)
+    df = df.option("encoding", "UTF-8").csv(path)
     broken = df.agg(*(F.count(F.when(~F.coalesce(ok, F.lit(False)), 1)).alias(n) for n, ok in rules.items())).first() if rules else None
     if broken and any(broken.asDict().values()):
         raise ContractError(f"rules broken: { {k: v for k, v in broken.asDict().items() if v} }")
@@ -101,54 +99,52 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
-@dataclass
-class _Page(InputPartition):
-    path: str
+def paged_json(spark: SparkSession, path: str, id_field: str = "notice_id") -> DataFrame:
+    """``page, pos, id, payload`` from the saved pages of a JSON interface, files ``...<number>.json``; see ``page_items``."""
+    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
+    number = F.regexp_extract("file", r"([0-9]+)[^0-9]*\.json$", 1).try_cast("int")
+    return page_items(files.select(number.alias("page"), "value").where("page IS NOT NULL"), id_field)
 
 
-class PagedJson(DataSource):
-    """A folder of saved pages of a JSON interface, ``spark.read.format("paged_json").load(folder)``.
+def page_items(pages: DataFrame, id_field: str) -> DataFrame:
+    """``page, pos, id, payload``: the objects of ``pages(page, value)``.
 
-    A page is ``{"response": {"body": {"items": {"item": [...]}}}}`` with a list or a single object; pages after the first
-    empty one are not read, objects without id are left out. One task a page.
+    A page is ``{"response": {"body": {"items": {"item": [...]}}}}`` with a list or a single object; pages from the first
+    empty one on do not count. ``id`` is null for an object without one. One row a page, no page comes to the driver.
     """
-
-    @classmethod
-    def name(cls) -> str:
-        return "paged_json"
-
-    def schema(self) -> str:
-        return "page int, id string, payload string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _PagedReader(self.options)
-
-
-class _PagedReader(DataSourceReader):
-    def __init__(self, options) -> None:
-        self.folder, self.id_field = options["path"], options.get("id_field", "desertionNo")
-
-    @staticmethod
-    def items(path: str) -> list:
-        item = json.loads(Path(path).read_text())
-        for step in ("response", "body", "items", "item"):
-            item = item.get(step) if isinstance(item, dict) else None
-        return item if isinstance(item, list) else [item] if isinstance(item, dict) else []
-
-    def partitions(self) -> list[InputPartition]:
-        folder = self.folder.removeprefix("file://").removeprefix("file:")
-        out = []
-        for p in sorted(Path(folder).glob("*.json")):
-            if not self.items(str(p)):
-                break
-            out.append(_Page(str(p)))
-        return out
-
-    def read(self, partition) -> Iterator[tuple]:
-        page = int("".join(c for c in Path(partition.path).stem if c.isdigit()) or 0)
-        for item in self.items(partition.path):
-            if isinstance(item, dict) and item.get(self.id_field):
-                yield page, str(item[self.id_field]), json.dumps(item, ensure_ascii=False, sort_keys=True)
+    item = F.get_json_object("value", "$.response.body.items.item")
+    listed = F.when(F.trim(item).startswith("["), item).otherwise(F.concat(F.lit("["), item, F.lit("]")))
+    none = F.array().cast("array<string>")
+    pages = pages.select("page", F.coalesce(F.from_json(listed, "array<string>"), none).alias("items"))
+    # One row: the number of the first empty page.
+    empty = pages.where(F.size("items") == 0).agg(F.min("page").alias("end"))
+    pages = pages.join(F.broadcast(empty), F.lit(True)).where("end IS NULL OR page < end")
+    rows = pages.select("page", F.posexplode("items").alias("pos", "payload")).where(F.col("payload").startswith("{"))
+    return rows.select("page", "pos", F.nullif(F.trim(F.get_json_object("payload", f"$.{id_field}")), F.lit("")).alias("id"), "payload")
+
+
+def scanned(rows: DataFrame, closed: Column, has_picture: Column, order: list[str]) -> DataFrame:
+    """``rows(id, ...)`` with ``outcome``: without id, closed, no picture, duplicate of an earlier row that would be kept, or kept."""
+    bad = F.when(F.col("id").isNull(), "no id").when(closed, "closed").when(~has_picture, "no picture")
+    rows = rows.withColumn("bad", bad)
+    place = F.row_number().over(Window.partitionBy("id").orderBy(*order))
+    good = rows.where("bad IS NULL").withColumn("outcome", F.when(place > 1, "duplicate").otherwise("kept"))
+    return good.unionByName(rows.where("bad IS NOT NULL").withColumn("outcome", F.col("bad"))).drop("bad")
+
+
+def zip_members(spark: SparkSession, path: str) -> DataFrame:
+    """``archive, item_id, members``: the files in ZIP archives named ``<item>-<number>.<ending>``, in order of the number."""
+
+    @F.pandas_udf("array<string>")
+    def names(contents: pd.Series) -> pd.Series:
+        return contents.map(lambda c: zipfile.ZipFile(io.BytesIO(c)).namelist())
+
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("archive"), F.explode(names("content")).alias("name"))
+    found = F.regexp_extract("name", r"([^/]+)-([0-9]+)\.[a-zA-Z0-9]+$", 1)
+    number = F.regexp_extract("name", r"-([0-9]+)\.[a-zA-Z0-9]+$", 1).try_cast("int")
+    rows = files.select("archive", "name", found.alias("item_id"), number.alias("k")).where("item_id <> ''")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("k", "name"))), lambda x: x["name"])
+    return rows.groupBy("archive", "item_id").agg(listed.alias("members"))
 
 
 def result_contract(df: DataFrame, provider: str, declared: int | None = None) -> dict:

@@ -32,22 +32,43 @@ def latest_values(stream: DataFrame, keys: list[str], time: str, columns: list[s
     return stream.groupBy(*keys).agg(F.max(F.struct(time, *columns)).alias("r")).select(*keys, "r.*")
 
 
+#: Parts of the view of latest values; a batch writes only those parts that it touches.
+VIEW_PARTS = 16
+
+
 def upserts(stream: DataFrame, keys: list[str], time: str, log_path: str, view_path: str, checkpoint: str):
-    """Each micro-batch is appended to a log, and the view of latest values is written anew from log and batch.
+    """Each micro-batch is appended to a log and merged into a view of latest values, which ``latest_view`` reads.
 
-    Batches are numbered, and a batch that is run again replaces its own part of the log, so the log has every row once.
+    The view is kept in VIEW_PARTS parts by hash of the key, each with the number of the batch that wrote it. A batch reads
+    and writes the parts of its own keys only, never the log. Batches are numbered, and a batch that is run again starts
+    from the parts of the batches before it and replaces what it wrote, so the log has every row once.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{log_path}/batch={number}")
-        log = batch.sparkSession.read.parquet(log_path)
-        names = [c for c in batch.columns if c not in keys]
-        latest = log.groupBy(*keys).agg(F.max(F.struct(time, *[c for c in names if c != time])).alias("r"))
-        latest.select(*keys, "r.*").write.mode("overwrite").parquet(f"{view_path}/v={number}")
+        part = F.pmod(F.xxhash64(*keys), F.lit(VIEW_PARTS)).cast("int")
+        rows = batch.withColumn("part", part)
+        names = [c for c in batch.columns if c not in (*keys, time)]
+        if number:
+            before = latest_view(batch.sparkSession, view_path, number)
+            if before is not None:
+                touched = rows.select("part").distinct()
+                rows = rows.unionByName(before.join(F.broadcast(touched), "part", "left_semi").select(*rows.columns))
+        latest = rows.groupBy(*keys, "part").agg(F.max(F.struct(time, *names)).alias("r")).select(*keys, "r.*", "part")
+        latest.write.mode("overwrite").partitionBy("part").parquet(f"{view_path}/v={number}")
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def latest_view(spark, view_path: str, before: int | None = None) -> DataFrame | None:
+    """The view that ``upserts`` keeps: of each part what the last batch wrote, before batch ``before`` if given."""
+    view = spark.read.parquet(view_path)
+    if before is not None:
+        view = view.where(F.col("v") < before)
+    newest = view.groupBy("part").agg(F.max("v").alias("v"))
+    return view.join(F.broadcast(newest), ["part", "v"], "left_semi").drop("v")
+
+
 def with_time_to_live(stream: DataFrame, key: str, time: str, value: str, minutes: int) -> DataFrame:
     """``key, value, hits``: rows answered from a value stored within ``minutes`` before; an older one is stored anew.
 

@@ -1,11 +1,12 @@
 import json
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from ranklake.operators.evaluation import latest_ratings
 from ranklake.sources.readers import (
-    ContractError, PagedJson, checked_csv, file_digests, first_files_win, notices_json, result_contract, text_blocks,
+    ContractError, checked_csv, file_digests, first_files_win, notices_json, paged_json, result_contract, text_blocks, zip_members,
 )
 from ranklake.sources.sinks import append_rating, canonical_rows, fingerprint, replaced, separate
 
@@ -28,12 +29,19 @@ def test_paged_source(spark, tmp_path):
     (tmp_path / "page2.json").write_text(page({"desertionNo": 2}))
     (tmp_path / "page3.json").write_text(page([]))
     (tmp_path / "page4.json").write_text(page([{"desertionNo": "9"}]))
-    spark.dataSource.register(PagedJson)
-    got = spark.read.format("paged_json").load(str(tmp_path)).collect()
-    assert sorted((r.page, r.id) for r in got) == [(1, "1"), (2, "2")]
+    got = paged_json(spark, str(tmp_path), "desertionNo").collect()
+    assert sorted((r.page, r.id) for r in got if r.id) == [(1, "1"), (2, "2")] and len(got) == 3
     assert json.loads(next(r.payload for r in got if r.id == "1"))["x"] == "가"
 
 
+def test_zip_members(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        for name in ("x/p1-10.jpg", "x/p1-2.jpg", "p2-1.png", "readme.txt"):
+            z.writestr(name, b"x")
+    got = {r.item_id: r.members for r in zip_members(spark, str(tmp_path)).collect()}
+    assert got == {"p1": ["x/p1-2.jpg", "x/p1-10.jpg"], "p2": ["p2-1.png"]}
+
+
 def test_checked_csv(spark, tmp_path):
     good = tmp_path / "good.csv"
     good.write_text("﻿rater,item,grade\nR1,a,2\nR2,a,3\n")
