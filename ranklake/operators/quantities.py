@@ -22,6 +22,8 @@ UNITS: dict[str, dict[str, tuple[str, tuple[str, ...]]]] = {
         "month": ("30", ("m", "mo", "mos", "month", "개월", "달", "개월령")),
         "week": ("7", ("w", "wk", "week", "주", "주령")),
         "day": ("1", ("d", "day", "일", "일령")),
+        # Counted from, not multiplied: the number is a year or month of birth.
+        "birth": ("0", ("년생", "년월생", "월생", "출생", "년출생", "월출생", "born")),
     },
 }
 
@@ -157,8 +159,12 @@ def common_units(
     month = F.nullif(F.regexp_extract("age", born, 3), F.lit("")).cast("int")
     s_year, s_month = F.substring("start", 1, 4).cast("int"), F.substring("start", 5, 2).cast("int")
     is_birth = F.coalesce(F.col("age").rlike(born), F.lit(False))
-    birth = base.where(is_birth & F.col("start").isNotNull()).select(
+    birth_word = F.regexp_replace(F.regexp_extract("age", r"((?:년|월)?\s*(?:월\s*)?(?:생|출생)|born)", 1), r"\s+", "")
+    # A bare year of four digits is one of birth without saying so.
+    birth_word = F.when(F.col("age").rlike(r"^(?:19|20)\d\d$"), "년생").otherwise(birth_word)
+    births = base.where(is_birth & F.col("start").isNotNull()).select(
         "row_id",
+        birth_word.alias("spelling"),
         F.lit("age").alias("field_name"),
         F.when(month.isNull(), (s_year - year) * 365)
         .otherwise(((s_year - year) * 12 + s_month - month) * 30)
@@ -188,9 +194,13 @@ def common_units(
         ),
     ).withColumn("field", F.explode(F.array(*(F.lit(f) for f in UNITS))))
     distinct = (
-        said.where("spelling <> ''").select("field", "spelling").union(words.select("field", "spelling")).distinct()
-    )
+        said.where("spelling <> ''").select("field", "spelling").union(words.select("field", "spelling"))
+        .union(births.select(F.lit("age"), "spelling")).distinct()
+    )
     aliases = cut(alias_dictionary(distinct))
+    of_birth = aliases.where("unit = 'birth'").select("spelling")
+    birth = births.join(of_birth, "spelling", "left_semi").select("row_id", "field_name", "amount", "unit")
+    aliases = aliases.where("unit <> 'birth'")
     noted = (
         words.join(aliases, ["field", "spelling"])
         .groupBy(F.col("n_provider"), F.col("field").alias("n_field"))

@@ -238,13 +238,18 @@ def ordinal_alpha(spark, sf):
 
 @EVALUATION.add(
     "complete_blocks",
-    f"""SELECT pair_id, round(avg(score), 6) AS mean_grade FROM ({_LATEST}) WHERE NOT skipped AND rater IN ('R1', 'R2', 'R3')
-    GROUP BY pair_id HAVING count(DISTINCT rater) = 3""",
+    f"""WITH l AS (SELECT * FROM ({_LATEST}) WHERE NOT skipped), p AS (SELECT rater FROM l GROUP BY rater ORDER BY count(*) DESC, rater LIMIT 3)
+    SELECT pair_id, round(avg(score), 6) AS mean_grade FROM l WHERE rater IN (SELECT rater FROM p) GROUP BY pair_id
+    HAVING count(DISTINCT rater) = (SELECT count(*) FROM p)""",
 )
 def complete_blocks(spark, sf):
-    rows = latest_ratings(spark, sf).where("NOT skipped AND rater IN ('R1', 'R2', 'R3')").groupBy("pair_id")
-    out = rows.agg(F.round(F.avg("score"), 6).alias("mean_grade"), F.countDistinct("rater").alias("n"))
-    return out.where("n = 3").select("pair_id", "mean_grade")
+    """Pairs that all of a panel rated; the panel is the three raters who rated most, ties by name."""
+    rows = latest_ratings(spark, sf).where("NOT skipped")
+    panel = rows.groupBy("rater").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("k"), "rater").limit(3).select("rater")
+    size = panel.agg(F.count(F.lit(1)).alias("m"))
+    out = rows.join(F.broadcast(panel), "rater").groupBy("pair_id")
+    out = out.agg(F.round(F.avg("score"), 6).alias("mean_grade"), F.countDistinct("rater").alias("n"))
+    return out.join(F.broadcast(size), F.col("n") == F.col("m")).select("pair_id", "mean_grade")
 
 
 @EVALUATION.add(

@@ -200,39 +200,15 @@ def word_frequency_top(spark, sf):
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "token")))
 
 
-@NOTICES.add(
-    "char_frequency",
-    "SELECT ch, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) "
-    "WHERE regexp_matches(ch, '^[가-힣a-zA-Z]$') GROUP BY ch",
-)
-def char_frequency(spark, sf):
-    # Characters are counted within each text first, so that a text gives a row a distinct character.
-    chars = F.filter(F.split("text", ""), lambda c: c.rlike(r"^[가-힣a-zA-Z]\z"))
-    docs = table(spark, sf, "documents").select(F.explode(chars).alias("ch"))
-    return docs.groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
-
-
-@NOTICES.add(
-    "char_bigram_frequency",
-    """SELECT gram, count(*) AS n FROM (SELECT unnest(list_transform(range(1, length(breed)), lambda i: substr(breed, i, 2)))
-    AS gram FROM notice_items WHERE length(breed) >= 2) GROUP BY gram""",
-)
-def char_bigram_frequency(spark, sf):
-    b = F.col("breed")
-    grams = F.transform(F.sequence(F.lit(1), F.length(b) - 1), lambda i: F.substring(b, i, F.lit(2)))
-    items = table(spark, sf, "notice_items").where("length(breed) >= 2").select(F.explode(grams).alias("gram"))
-    return items.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-
-
 # The blanks of Python's isspace; RE2 and Java read the class alike.
 _NO_BLANK = r"[^\t-\r\x1c-\x20\x{85}\p{Z}]"
 
 
 @NOTICES.add(
-    "char_frequency_all",
+    "char_frequency",
     f"SELECT ch, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{_NO_BLANK}')) AS ch FROM documents) GROUP BY ch",
 )
-def char_frequency_all(spark, sf):
+def char_frequency(spark, sf):
     """Every character that is no blank: digits, marks and single letters of Hangul too; by code point, so no half of a pair."""
     chars = F.regexp_extract_all("text", F.lit(f"({_NO_BLANK})"), F.lit(1))
     docs = table(spark, sf, "documents").select(F.explode(chars).alias("ch"))
@@ -240,12 +216,12 @@ def char_frequency_all(spark, sf):
 
 
 @NOTICES.add(
-    "char_bigram_frequency_all",
+    "char_bigram_frequency",
     f"""SELECT gram, count(*) AS n FROM (SELECT unnest(list_transform(range(1, len(c)), lambda i: c[i] || c[i + 1])) AS gram FROM
     (SELECT regexp_extract_all(unnest([desc_full, breed]), '{_NO_BLANK}') AS c FROM notice_items) WHERE len(c) >= 2) GROUP BY gram""",
 )
-def char_bigram_frequency_all(spark, sf):
-    """Pairs of neighbouring characters of descriptions and breeds, blanks left out first as in the reference."""
+def char_bigram_frequency(spark, sf):
+    """Pairs of neighbouring characters of descriptions and breeds, blanks left out first."""
     texts = table(spark, sf, "notice_items").select(F.explode(F.array("desc_full", "breed")).alias("text"))
     chars = texts.select(F.regexp_extract_all("text", F.lit(f"({_NO_BLANK})"), F.lit(1)).alias("c")).where("size(c) >= 2")
     grams = F.transform(F.sequence(F.lit(1), F.size("c") - 1), lambda i: F.concat(F.get("c", i - 1), F.get("c", i)))

@@ -15,52 +15,7 @@ from ranklake.plans.retrieval import _RUN_SQL, runs
 
 UPKEEP = Registry()
 
-# Two states of one table: what the providers delivered on one date and a week later.
-_BEFORE, _AFTER = "20260302", "20260309"
-_AT = """(SELECT provider_id || '|' || notice_id AS key, max(source_status) AS status, max(notice_end) AS ends FROM notice_snapshots
-  WHERE snapshot_date = '{date}' AND notice_id IS NOT NULL GROUP BY 1)"""
-_OLD, _NEW = _AT.format(date=_BEFORE), _AT.format(date=_AFTER)
-
-
-def _states(spark, sf):
-    rows = table(spark, sf, "notice_snapshots").where("notice_id IS NOT NULL")
-    key = F.concat_ws("|", "provider_id", "notice_id").alias("key")
-    at = lambda date: (
-        rows.where(F.col("snapshot_date") == date)
-        .groupBy(key)
-        .agg(F.max("source_status").alias("status"), F.max("notice_end").alias("ends"))
-    )
-    return at(_BEFORE), at(_AFTER)
-
-
-_ACTIONS = f"""SELECT coalesce(a.key, b.key) AS key, CASE WHEN a.key IS NULL THEN 'new' WHEN b.key IS NULL THEN 'stale'
-  WHEN a.status IS DISTINCT FROM b.status AND a.ends IS DISTINCT FROM b.ends THEN 'changed_both'
-  WHEN a.status IS DISTINCT FROM b.status THEN 'changed_text' WHEN a.ends IS DISTINCT FROM b.ends THEN 'changed_picture'
-  ELSE 'retained' END AS action FROM {_OLD} a FULL JOIN {_NEW} b ON a.key = b.key"""
-
-
-@UPKEEP.add("sync_actions", _ACTIONS)
-def sync_actions(spark, sf):
-    old, new = _states(spark, sf)
-    return Y.sync_actions(old, new, "key", ["status"], ["ends"])
-
-
-@UPKEEP.add("sync_counts", f"SELECT action, count(*) AS n FROM ({_ACTIONS}) GROUP BY action")
-def sync_counts(spark, sf):
-    return sync_actions(spark, sf).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
-
-
-@UPKEEP.add(
-    "safety_gates",
-    f"""SELECT n_fresh, round(gone / had, 6) AS removed_fraction, n_fresh >= 1 AND gone / had <= 0.5 AS passed FROM (
-    SELECT count(*) FILTER (WHERE action <> 'stale') AS n_fresh, count(*) FILTER (WHERE action = 'stale') AS gone,
-    count(*) FILTER (WHERE action <> 'new') AS had FROM ({_ACTIONS}))""",
-)
-def safety_gates(spark, sf):
-    return Y.safety_gates(sync_actions(spark, sf))
-
-
-# The same over the whole table: each provider's date against its own date before, of each date the last delivery.
+# Two states of one table: each provider's date against its own date before, of each date the last delivery.
 _DATES = """(SELECT *, lag(snapshot_date) OVER (PARTITION BY provider_id ORDER BY snapshot_date) AS earlier FROM (SELECT provider_id,
   snapshot_date, max(delivery_no) AS delivery_no FROM notice_snapshots GROUP BY ALL))"""
 _STATES = f"""(SELECT d.provider_id, d.snapshot_date, notice_id, max(source_status) AS status, max(notice_end) AS ends
@@ -74,8 +29,8 @@ _ACTIONS_BY_DATE = f"""SELECT provider_id, snapshot_date, notice_id, CASE WHEN a
   USING (provider_id, snapshot_date, notice_id)"""
 
 
-@UPKEEP.add("sync_actions_by_date", _ACTIONS_BY_DATE)
-def sync_actions_by_date(spark, sf):
+@UPKEEP.add("sync_actions", _ACTIONS_BY_DATE)
+def sync_actions(spark, sf):
     rows = table(spark, sf, "notice_snapshots")
     dates = rows.groupBy("provider_id", "snapshot_date").agg(F.max("delivery_no").alias("delivery_no"))
     order = Window.partitionBy("provider_id").orderBy("snapshot_date")
@@ -91,22 +46,22 @@ def sync_actions_by_date(spark, sf):
 
 
 @UPKEEP.add(
-    "sync_counts_by_date",
+    "sync_counts",
     f"SELECT provider_id, snapshot_date, action, count(*) AS n FROM ({_ACTIONS_BY_DATE}) GROUP BY ALL",
 )
-def sync_counts_by_date(spark, sf):
-    return sync_actions_by_date(spark, sf).groupBy("provider_id", "snapshot_date", "action").agg(F.count(F.lit(1)).alias("n"))
+def sync_counts(spark, sf):
+    return sync_actions(spark, sf).groupBy("provider_id", "snapshot_date", "action").agg(F.count(F.lit(1)).alias("n"))
 
 
 @UPKEEP.add(
-    "safety_gates_by_date",
+    "safety_gates",
     f"""SELECT provider_id, snapshot_date, n_fresh, round(share, 6) AS removed_fraction, n_fresh >= 1 AND share <= 0.5 AS passed
     FROM (SELECT provider_id, snapshot_date, count(*) FILTER (WHERE action <> 'stale') AS n_fresh,
     coalesce(count(*) FILTER (WHERE action = 'stale') / nullif(count(*) FILTER (WHERE action <> 'new'), 0), 0) AS share
     FROM ({_ACTIONS_BY_DATE}) GROUP BY provider_id, snapshot_date)""",
 )
-def safety_gates_by_date(spark, sf):
-    return Y.safety_gates(sync_actions_by_date(spark, sf), by=["provider_id", "snapshot_date"])
+def safety_gates(spark, sf):
+    return Y.safety_gates(sync_actions(spark, sf), by=["provider_id", "snapshot_date"])
 
 
 # Items of the new batches, of each number the first, are the source for those of the history.
@@ -295,20 +250,10 @@ def valid_until(spark, sf):
 
 @UPKEEP.add(
     "incremental_append",
-    """SELECT item_id FROM notice_items n WHERE batch_no = 10 AND NOT EXISTS (SELECT 1 FROM notice_items h WHERE h.batch_no < 10
-    AND h.notice_id = n.notice_id)""",
-)
-def incremental_append(spark, sf):
-    i = table(spark, sf, "notice_items").select("item_id", "batch_no", "notice_id")
-    return i.where("batch_no = 10").join(i.where("batch_no < 10").select("notice_id"), "notice_id", "left_anti").select("item_id")
-
-
-@UPKEEP.add(
-    "incremental_append_by_batch",
     """SELECT batch_no, item_id FROM notice_items n WHERE batch_no > 0 AND NOT EXISTS (SELECT 1 FROM notice_items h
     WHERE h.batch_no < n.batch_no AND h.notice_id = n.notice_id)""",
 )
-def incremental_append_by_batch(spark, sf):
+def incremental_append(spark, sf):
     i = table(spark, sf, "notice_items").select("item_id", "batch_no", "notice_id")
     first = i.where("notice_id IS NOT NULL").groupBy("notice_id").agg(F.min("batch_no").alias("first_batch"))
     new = i.where("batch_no > 0").join(first, "notice_id", "left")

@@ -5,12 +5,12 @@ from ranklake.plans.core import CORE
 
 def test_every_character_counts(spark, tmp_path):
     spark.createDataFrame([("가1 !\u1100\u1161\u3000😀",), ("1",), (None,)], "text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.ch: r.n for r in CORE.plans["char_frequency_all"](spark, str(tmp_path)).collect()}
+    got = {r.ch: r.n for r in CORE.plans["char_frequency"](spark, str(tmp_path)).collect()}
     assert got == {"가": 1, "1": 2, "!": 1, "\u1100": 1, "\u1161": 1, "😀": 1}
 
 
 def test_descriptions_give_pairs(spark, tmp_path):
     rows = [("가 나다", "믹스"), (None, "믹스"), ("a", None)]
     spark.createDataFrame(rows, "desc_full string, breed string").write.parquet(f"{tmp_path}/notice_items.parquet")
-    got = {r.gram: r.n for r in CORE.plans["char_bigram_frequency_all"](spark, str(tmp_path)).collect()}
+    got = {r.gram: r.n for r in CORE.plans["char_bigram_frequency"](spark, str(tmp_path)).collect()}
     assert got == {"가나": 1, "나다": 1, "믹스": 2}

@@ -12,12 +12,12 @@ def test_each_provider_has_its_own_dates(spark, tmp_path):
     schema = "provider_id string, snapshot_date string, delivery_no int, notice_id string, source_status string, notice_end string"
     spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/notice_snapshots.parquet")
     run = lambda name: {tuple(r) for r in CORE.plans[name](spark, str(tmp_path)).collect()}
-    assert run("sync_actions_by_date") == {
+    assert run("sync_actions") == {
         ("a", "20250103", "1", "stale"), ("a", "20250103", "2", "changed_text"), ("a", "20250103", "3", "new"),
         ("b", "20250109", "1", "changed_picture"), ("b", "20250116", "1", "stale"), ("b", "20250116", "9", "new"),
     }
-    assert ("b", "20250116", "new", 1) in run("sync_counts_by_date")
-    assert run("safety_gates_by_date") == {
+    assert ("b", "20250116", "new", 1) in run("sync_counts")
+    assert run("safety_gates") == {
         ("a", "20250103", 2, 0.5, True), ("b", "20250109", 1, 0.0, True), ("b", "20250116", 1, 1.0, False)
     }
 
@@ -26,5 +26,5 @@ def test_each_batch_is_judged(spark, tmp_path):
     rows = [(1, 0, "x"), (2, 1, "x"), (3, 1, "y"), (4, 2, "y"), (5, 2, None), (6, 10, "z"), (7, 10, "z")]
     items = spark.createDataFrame(rows, "item_id int, batch_no int, notice_id string")
     items.write.parquet(f"{tmp_path}/notice_items.parquet")
-    got = CORE.plans["incremental_append_by_batch"](spark, str(tmp_path)).collect()
+    got = CORE.plans["incremental_append"](spark, str(tmp_path)).collect()
     assert {tuple(r) for r in got} == {(1, 3), (2, 5), (10, 6), (10, 7)}
