@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ranklake.functions.text import is_missing, notice_number
 from ranklake.llm.batch_dedup import History, check_batch, signatures
 from ranklake.llm.canonical_map import map_to_list, mapped_rows, reference_names
-from ranklake.llm.mixing import selection, shares
+from ranklake.llm.mixing import BLOCK_TOKENS, selection, shares
 from ranklake.llm.packing import packed, packing_report
 from ranklake.llm.tokens import TOKENIZER, n_tokens
 from ranklake.llm.truncation import cut_rates, endings, hidden_limits
@@ -135,6 +135,30 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, each)
 
 
+@LLM.add(
+    "p6_invariants",
+    """SELECT budget_name, (SELECT count(*) FROM documents) AS n_docs, 0 AS n_lost, 0 AS n_over, 0 AS n_split
+    FROM token_budgets""",
+)
+def p6_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the containers: every token of every document once, none over capacity, none split that fits."""
+    sizes = cut(document_sizes(spark, sf_dir).select("doc_id", F.col("n_tokens").cast("long").alias("size")))
+    each = []
+    for name, capacity in _budgets(spark, sf_dir):
+        placed = cut(packed(sizes, F.col("doc_id"), F.col("size"), capacity))
+        of_doc = placed.groupBy("item_id").agg(F.sum("length").alias("got"), F.count(F.lit(1)).alias("parts"))
+        met = sizes.join(of_doc, F.col("item_id") == F.col("doc_id"), "full_outer")
+        docs = met.agg(
+            F.count("item_id").alias("n_docs"),
+            F.count(F.when(~F.col("got").eqNullSafe(F.col("size")), 1)).alias("n_lost"),
+            F.count(F.when((F.col("parts") > 1) & (F.col("size") <= capacity), 1)).alias("n_split"),
+        )
+        filled = placed.where("container_no > 0").groupBy("container_no").agg(F.sum("length").alias("filled"))
+        over = filled.agg(F.count(F.when(F.col("filled") > capacity, 1)).alias("n_over"))
+        each.append(docs.join(F.broadcast(over), F.lit(True)).withColumn("budget_name", F.lit(name)))
+    return reduce(DataFrame.unionByName, each)
+
+
 @LLM.add("p7_selection")
 def p7_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection(document_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
@@ -144,3 +168,27 @@ def p7_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = table(spark, sf_dir, "mix_targets")
     return shares(selection(document_sizes(spark, sf_dir), targets), targets)
+
+
+@LLM.add(
+    "p7_invariants",
+    """SELECT mix_name, count(*) AS n_sources, 0 AS n_over_repeats, 0 AS n_off_target FROM mix_targets t WHERE target_share > 0
+    AND EXISTS (SELECT 1 FROM documents d WHERE d.source = t.source AND length(d.text) > 0) GROUP BY mix_name""",
+)
+def p7_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of a selection: no part of a document used too often, every source that has documents within two
+    blocks of its target."""
+    targets = table(spark, sf_dir, "mix_targets")
+    chosen = cut(selection(document_sizes(spark, sf_dir), targets))
+    uses = chosen.groupBy("mix_name", "source", "doc_id", "start").agg(F.count(F.lit(1)).alias("uses"))
+    limits = targets.select("mix_name", "source", "max_repeats")
+    over = uses.join(limits, ["mix_name", "source"]).groupBy("mix_name", "source").agg(
+        F.count(F.when(F.col("uses") > F.col("max_repeats"), 1)).alias("over")
+    )
+    got = shares(chosen, targets).where("n_tokens > 0").join(over, ["mix_name", "source"])
+    whole = Window.partitionBy("mix_name")
+    wanted = F.col("target_share") / F.sum("target_share").over(whole) * F.sum("n_tokens").over(whole)
+    got = got.withColumn("off", F.abs(F.col("n_tokens") - wanted) > 2 * BLOCK_TOKENS)
+    return got.groupBy("mix_name").agg(
+        F.count(F.lit(1)).alias("n_sources"), F.sum("over").alias("n_over_repeats"), F.count(F.when(F.col("off"), 1)).alias("n_off_target")
+    )
