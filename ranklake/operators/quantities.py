@@ -187,6 +187,7 @@ def common_units(
         F.explode(F.concat(of("weight", F.lit(True)), of("age", ~is_birth))).alias("m"),
     ).select("row_id", "provider_id", "content", "m.*")
     said = stored(said, "mentions")
+    births = stored(births, "births")
     words = notes.select(
         F.col("provider_id").alias("n_provider"),
         F.posexplode(F.regexp_extract_all(F.lower(fold_width(F.col("note"))), F.lit(f"({_WORD})"), 1)).alias(

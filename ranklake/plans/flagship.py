@@ -16,6 +16,7 @@ from ranklake.plans.extras import _VISUAL_SQL, visual_scores
 from ranklake.plans.notices import SQL_TYPED, sql_any, typed
 from ranklake.plans.registry import Registry, table
 from ranklake.plans.retrieval import _QUERY_SQL, _ROUNDED_BM25, _VEC_SQL, _gallery, _sql_top, bm25_scores, profile_queries
+from ranklake.session import cut
 
 HYBRID = Registry()
 #: How many documents each way of searching gives, how many are re-ranked, seeds of the graph, and what comes out.
@@ -154,34 +155,49 @@ def sql_ranked(structured: str = "oracle", with_graph: bool = True) -> str:
       AND nb.doc_id = r.doc_id LEFT JOIN fs ON fs.query_id = r.query_id LEFT JOIN ms ON ms.query_id = r.query_id) r)"""
 
 
-def hybrid(spark, sf, structured: str = "oracle", with_graph: bool = True, weights: dict[str, float] | None = None):
-    """``query_id, doc_id, base, score`` of all documents that are re-ranked."""
-    known, asked = facts(spark, sf), asked_for(spark, sf, structured)
-    one = asked.groupBy("query_id").agg(F.first("size").alias("q_size"), F.first("age").alias("q_age"))
-    features, web = features_of(asked, structured), edges(known)
-    best = graph.best_candidates(features, web, DEPTH)
-    words = lexical.top_k(bm25_scores(spark, sf), "bm25", DEPTH).select("query_id", "doc_id", "bm25")
-    wanted = _gallery(spark, sf).join(asked.select(F.col("query_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    near = vectors.nearest(wanted.select(F.col("doc_id").alias("query_id"), "vector"), _gallery(spark, sf), DEPTH + 10)
-    near = lexical.top_k(near.withColumn("vector", F.round("score", 6)).drop("rank"), "vector", DEPTH)
-    pool = fusion.candidate_union({"vector": near.select("query_id", "doc_id", "vector"), "bm25": words, "prior": best.select("query_id", "doc_id", "prior")})
-    # A query that found nothing gets the first documents; as many rows as a pool has.
-    first = table(spark, sf, "documents").select("doc_id").orderBy("doc_id").limit(POOL)
-    lost = one.select("query_id").join(pool.select("query_id").distinct(), "query_id", "left_anti")
-    lost = lost.join(F.broadcast(first), F.lit(True)).select("query_id", "doc_id", *(F.lit(0.0).alias(c) for c in ("vector", "bm25", "prior")))
-    pool = pool.unionByName(lost).join(known.select("doc_id", "status", "size", "age_group"), "doc_id").join(one, "query_id")
-    pool = pool.join(visual_scores(spark, sf).withColumnRenamed("vec_id", "doc_id"), "doc_id", "left").na.fill(0.5, ["visual"])
-    conditions = [
-        (F.col("q_size").isNotNull(), F.col("size") == F.col("q_size")),
-        (F.col("q_age").isNotNull(), F.col("age_group") == F.col("q_age")),
-    ]
-    pool = pool.withColumn("conditions", fusion.condition_parts(conditions))
-    fused = fusion.fused(pool, weights, keep=("status",)).where("coalesce(status, 'unknown') IN ('active', 'unknown')")
-    ranked = lexical.top_k(fused.withColumn("score", F.round("score", 6)).drop("status"), "score", POOL)
-    if not with_graph:
-        return ranked.select("query_id", "doc_id", F.col("score").alias("base"), "score")
-    done = graph.reranked(ranked, features, web, best, SEEDS)
-    return done.select("query_id", "doc_id", "base", F.round("score", 6).alias("score"))
+class Search:
+    """What all stages share, each computed once: facts, edges, pictures, and the hits of words and vectors."""
+
+    def __init__(self, spark, sf) -> None:
+        self.spark, self.sf = spark, sf
+        self.known = cut(facts(spark, sf))
+        self.web = cut(edges(self.known))
+        words = lexical.top_k(bm25_scores(spark, sf), "bm25", DEPTH).select("query_id", "doc_id", "bm25")
+        asked = asked_for(spark, sf, "none").select(F.col("query_id").alias("doc_id")).distinct()
+        wanted = _gallery(spark, sf).join(F.broadcast(asked), "doc_id", "left_semi")
+        near = vectors.nearest(wanted.select(F.col("doc_id").alias("query_id"), "vector"), _gallery(spark, sf), DEPTH + 10)
+        near = lexical.top_k(near.withColumn("vector", F.round("score", 6)).drop("rank"), "vector", DEPTH)
+        self.hits = cut(fusion.candidate_union({"vector": near.select("query_id", "doc_id", "vector"), "bm25": words}))
+        self.visual = visual_scores(spark, sf).withColumnRenamed("vec_id", "doc_id")
+
+    def ranked(self, structured: str = "oracle", with_graph: bool = True, weights: dict[str, float] | None = None):
+        """``query_id, doc_id, base, score`` of all documents that are re-ranked."""
+        asked = asked_for(self.spark, self.sf, structured)
+        one = asked.groupBy("query_id").agg(F.first("size").alias("q_size"), F.first("age").alias("q_age"))
+        features = features_of(asked, structured)
+        best = cut(graph.best_candidates(features, self.web, DEPTH))
+        prior = best.select("query_id", "doc_id", F.lit(None).cast("double").alias("vector"), F.lit(None).cast("double").alias("bm25"), "prior")
+        parts = self.hits.withColumn("prior", F.lit(None).cast("double")).unionByName(prior)
+        names = ("vector", "bm25", "prior")
+        pool = parts.groupBy("query_id", "doc_id").agg(*(F.coalesce(F.max(c), F.lit(0.0)).alias(c) for c in names))
+        # A query that found nothing gets the first documents; as many rows as a pool has.
+        first = table(self.spark, self.sf, "documents").select("doc_id").orderBy("doc_id").limit(POOL)
+        lost = one.select("query_id").join(parts.select("query_id").distinct(), "query_id", "left_anti")
+        lost = lost.join(F.broadcast(first), F.lit(True)).select("query_id", "doc_id", *(F.lit(0.0).alias(c) for c in names))
+        pool = pool.unionByName(lost).join(self.known.select("doc_id", "status", "size", "age_group"), "doc_id").join(one, "query_id")
+        pool = pool.join(self.visual, "doc_id", "left").na.fill(0.5, ["visual"])
+        conditions = [
+            (F.col("q_size").isNotNull(), F.col("size") == F.col("q_size")),
+            (F.col("q_age").isNotNull(), F.col("age_group") == F.col("q_age")),
+        ]
+        pool = pool.withColumn("conditions", fusion.condition_parts(conditions))
+        fused = fusion.fused(pool, weights, keep=("status",)).where("coalesce(status, 'unknown') IN ('active', 'unknown')")
+        ranked = lexical.top_k(fused.withColumn("score", F.round("score", 6)).drop("status"), "score", POOL)
+        if not with_graph:
+            return ranked.select("query_id", "doc_id", F.col("score").alias("base"), "score")
+        ranked = cut(ranked)
+        done = graph.reranked(ranked, features, self.web, best, SEEDS)
+        return done.select("query_id", "doc_id", "base", F.round("score", 6).alias("score"))
 
 
 def _sql_stage(structured: str = "oracle", with_graph: bool = True, k: int = TOP) -> str:
@@ -195,8 +211,9 @@ _SHOWN = "t.rank, t.query_id, t.doc_id, t.score, t.base, c.source, c.status, c.s
 @HYBRID.add("hybrid_top", f"SELECT {_SHOWN} FROM ({_sql_stage()}) t JOIN ({_FACTS}) c USING (doc_id)")
 def hybrid_top(spark, sf):
     """The flagship: vectors, words, graph, conditions and pictures of every query against all documents, the ten best shown."""
-    top = lexical.top_k(hybrid(spark, sf), "score", TOP)
-    shown = facts(spark, sf).select("doc_id", "source", "status", "size", "age_group", "sex", "breed", "care_name")
+    search = Search(spark, sf)
+    top = lexical.top_k(search.ranked(), "score", TOP)
+    shown = search.known.select("doc_id", "source", "status", "size", "age_group", "sex", "breed", "care_name")
     return top.join(shown, "doc_id")
 
 
@@ -209,10 +226,10 @@ def hybrid_top(spark, sf):
 )
 def ablation_stages(spark, sf):
     """The ten best of each query with the conditions left out, read from the text or given, with and without graph."""
-    out = None
+    search, out = Search(spark, sf), None
     for s in STAGES:
         for g in (False, True):
-            top = lexical.top_k(hybrid(spark, sf, s, g), "score", TOP)
+            top = lexical.top_k(search.ranked(s, g), "score", TOP)
             top = top.select(F.lit(s).alias("structured"), F.lit(g).alias("with_graph"), "query_id", "doc_id", "rank")
             out = top if out is None else out.unionByName(top)
     return out
@@ -231,6 +248,7 @@ _MISMATCH = """((a.size IS NOT NULL AND c.size IS NOT NULL AND a.size <> c.size)
 def strict_top(spark, sf):
     """Of the re-ranked documents only those without any mismatched condition; what is not known is no mismatch."""
     asked = asked_for(spark, sf, "oracle").select("query_id", F.col("size").alias("q_size"), "age")
-    rows = hybrid(spark, sf).join(facts(spark, sf).select("doc_id", "size", "age_group"), "doc_id").join(asked, "query_id")
+    search = Search(spark, sf)
+    rows = search.ranked().join(search.known.select("doc_id", "size", "age_group"), "doc_id").join(asked, "query_id")
     differs = F.coalesce(F.col("size") != F.col("q_size"), F.lit(False)) | F.coalesce(F.col("age_group") != F.col("age"), F.lit(False))
     return lexical.top_k(rows.where(~differs).select("query_id", "doc_id", "score"), "score", TOP)
