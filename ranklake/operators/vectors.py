@@ -97,6 +97,11 @@ def nearest(
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _rounded(x: np.ndarray, decimals: int) -> np.ndarray:
+    """Rounded to whole units, halves up, whatever the order in which a sum was taken."""
+    return np.floor(x * 10**decimals + 0.5 + 1e-9)
+
+
 def target_ranks(queries: DataFrame, gallery: DataFrame, decimals: int) -> DataFrame:
     """``query_id, target_id, position, strict_rank, index_rank``: where a known target stands among all gallery vectors.
 
@@ -107,22 +112,22 @@ def target_ranks(queries: DataFrame, gallery: DataFrame, decimals: int) -> DataF
     """
     asked = queries.where("vector IS NOT NULL AND target_id IS NOT NULL")
     pairs = asked.join(gallery.select(F.col("doc_id").alias("target_id"), F.col("vector").alias("t_vector")), "target_id")
-    scored = pairs.select("query_id", "target_id", as_doubles(F.col("vector")).alias("vector"), F.round(dot(F.col("vector"), F.col("t_vector")), decimals).alias("score"))
-    scored = cut(scored)
+    scored = cut(pairs.select("query_id", "target_id", as_doubles(F.col("vector")).alias("vector"), as_doubles(F.col("t_vector")).alias("t_vector")))
     n_blocks = max(1, -(-5 * scored.count() // (4 * BLOCK)))
     blocks = scored.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).alias("block")).agg(
-        F.collect_list(F.struct("query_id", "target_id", "vector", "score")).alias("q")
+        F.collect_list(F.struct("query_id", "target_id", "vector", "t_vector")).alias("q")
     )
     rows = gallery.where("vector IS NOT NULL").select("doc_id", as_doubles(F.col("vector")).alias("vector"))
     shape = f"query_id {dict(queries.dtypes)['query_id']}, greater long, equal long, before long"
     out = queries.sparkSession.createDataFrame([], shape)
     for row in blocks.toLocalIterator():
         ids, targets = np.array([x.query_id for x in row.q]), np.array([x.target_id for x in row.q])
-        mat, score = np.array([x.vector for x in row.q], dtype=np.float64), np.array([x.score for x in row.q])
+        mat, to = (np.array([x[c] for x in row.q], dtype=np.float64) for c in ("vector", "t_vector"))
+        score = _rounded((mat * to).sum(axis=1), decimals)
 
         def count(batches: Iterator[pd.DataFrame], ids=ids, targets=targets, mat=mat, score=score) -> Iterator[pd.DataFrame]:
             for g in batches:
-                s = np.round(mat @ np.array(g.vector.tolist(), dtype=np.float64).T, decimals)
+                s = _rounded(mat @ np.array(g.vector.tolist(), dtype=np.float64).T, decimals)
                 doc = g.doc_id.to_numpy()
                 other = (ids[:, None] != doc[None, :]) & (targets[:, None] != doc[None, :])
                 equal = other & (s == score[:, None])

@@ -34,6 +34,7 @@ def latest_values(stream: DataFrame, keys: list[str], time: str, columns: list[s
 
 #: Parts of the view of latest values; a batch writes only those parts that it touches.
 VIEW_PARTS = 16
+_PART, _BATCH = "view_part_no", "view_batch_no"
 
 
 def upserts(stream: DataFrame, keys: list[str], time: str, log_path: str, view_path: str, checkpoint: str):
@@ -45,28 +46,27 @@ def upserts(stream: DataFrame, keys: list[str], time: str, log_path: str, view_p
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{log_path}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{log_path}/{_BATCH}={number}")
         part = F.pmod(F.xxhash64(*keys), F.lit(VIEW_PARTS)).cast("int")
-        rows = batch.withColumn("part", part)
+        rows = batch.withColumn(_PART, part)
         names = [c for c in batch.columns if c not in (*keys, time)]
         if number:
             before = latest_view(batch.sparkSession, view_path, number)
-            if before is not None:
-                touched = rows.select("part").distinct()
-                rows = rows.unionByName(before.join(F.broadcast(touched), "part", "left_semi").select(*rows.columns))
-        latest = rows.groupBy(*keys, "part").agg(F.max(F.struct(time, *names)).alias("r")).select(*keys, "r.*", "part")
-        latest.write.mode("overwrite").partitionBy("part").parquet(f"{view_path}/v={number}")
+            touched = rows.select(_PART).distinct()
+            rows = rows.unionByName(before.join(F.broadcast(touched), _PART, "left_semi").select(*rows.columns))
+        latest = rows.groupBy(*keys, _PART).agg(F.max(F.struct(time, *names)).alias("r")).select(*keys, "r.*", _PART)
+        latest.write.mode("overwrite").partitionBy(_PART).parquet(f"{view_path}/{_BATCH}={number}")
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_view(spark, view_path: str, before: int | None = None) -> DataFrame | None:
+def latest_view(spark, view_path: str, before: int | None = None) -> DataFrame:
     """The view that ``upserts`` keeps: of each part what the last batch wrote, before batch ``before`` if given."""
     view = spark.read.parquet(view_path)
     if before is not None:
-        view = view.where(F.col("v") < before)
-    newest = view.groupBy("part").agg(F.max("v").alias("v"))
-    return view.join(F.broadcast(newest), ["part", "v"], "left_semi").drop("v")
+        view = view.where(F.col(_BATCH) < before)
+    newest = view.groupBy(_PART).agg(F.max(_BATCH).alias(_BATCH))
+    return view.join(F.broadcast(newest), [_PART, _BATCH], "left_semi").drop(_BATCH)
 
 
 def with_time_to_live(stream: DataFrame, key: str, time: str, value: str, minutes: int) -> DataFrame:

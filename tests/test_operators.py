@@ -284,3 +284,43 @@ def test_boxes(spark):
     got = one(spark, pictures.best_boxes(boxes, 0.25, ("dog",)).alias("b")).b
     assert [x.confidence for x in got] == [0.5, 0.9] and got[0].box == [0.0, 0.0, 0.9, 1.0]
     assert one(spark, pictures.best_boxes(boxes, labels=("cat",)).alias("b")).b == []
+
+
+def test_trees(spark):
+    from ranklake.operators import json_tree as J
+
+    df = spark.createDataFrame([('{"b": {"y": [1, {"z": null}], "x": ""}, "a": 2}', '{"b": {"x": "k", "y": []}, "c": 3}'), ("no tree", None), (None, None)], "a string, b string")
+    cols = (J.canonical(F.col("a")), J.known_leaves(F.col("a")), J.fill_blanks(F.col("a"), F.col("b")), J.overlay(F.col("a"), F.col("b")))
+    one_, bad, none = df.select(*(c.alias(str(i)) for i, c in enumerate(cols))).collect()
+    assert one_[0] == '{"a":2,"b":{"x":"","y":[1,{"z":null}]}}' and one_[1] == 2
+    assert one_[2] == one_[3] == '{"a":2,"b":{"x":"k","y":[1,{"z":null}]},"c":3}'
+    assert tuple(bad) == tuple(none) == (None, 0, None, None)
+    deep = "[" * 500 + "1" + "]" * 500
+    assert len(df.select(J.leaf_values(F.lit(deep))).first()[0]) == 1
+
+
+def test_best_candidates_and_rerank(spark):
+    edges = spark.createDataFrame([(d, f"status:{'active' if d % 3 else 'closed'}", 1.15) for d in range(60)] + [(d, "age:puppy", 1.0) for d in range(0, 60, 7)], "doc_id int, feature string, weight double")
+    asked = spark.createDataFrame([(1, "status:active"), (1, "age:puppy"), (2, "region:none")], "query_id int, feature string")
+    best = graph.best_candidates(asked, edges, 5).collect()
+    want = sorted(((-(1.15 * (d % 3 > 0) + (d % 7 == 0)), d) for d in range(60)))[:5]
+    assert sorted((round(-r.prior, 6), r.doc_id) for r in best) == [(round(p, 6), d) for p, d in want] and {r.query_id for r in best} == {1}
+    ranked = spark.createDataFrame([(1, 7, 0.5, 1), (1, 3, 0.6, 2), (2, 3, 0.4, 1)], "query_id int, doc_id int, score double, rank int")
+    got = {(r.query_id, r.doc_id): r for r in graph.reranked(ranked, asked, edges, graph.best_candidates(asked, edges, 5), 1).collect()}
+    assert got[1, 7].match == 1.0 and got[1, 7].seed == 1.0 and got[1, 3].match == 0.0
+    assert got[1, 7].score == pytest.approx(0.82 * 0.5 + 0.18 * (0.7 + 0.2)) and got[2, 3].score == pytest.approx(0.68 * 0.4)
+
+
+def test_target_ranks_and_groups_apart(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(40, 4)).round(1)
+    g = spark.createDataFrame([(i, [float(x) for x in v[i]], f"s{i % 4}") for i in range(40)], "doc_id int, vector array<double>, s string")
+    q = g.where("doc_id % 10 = 0").select(F.col("doc_id").alias("query_id"), "vector", "s", (F.col("doc_id") + 3).alias("target_id"))
+    for r in vectors.target_ranks(q, g, 1).collect():
+        s = np.floor((v @ v[r.query_id]) * 10 + 0.5 + 1e-9)
+        other = [d for d in range(40) if d not in (r.query_id, r.target_id)]
+        more, same = sum(s[d] > s[r.target_id] for d in other), [d for d in other if s[d] == s[r.target_id]]
+        assert (r.strict_rank, r.position, r.index_rank) == (1 + more, 1 + more + len(same), 1 + more + sum(d < r.target_id for d in same))
+    near = vectors.nearest(q, g, 3, metric="ip", apart="s").collect()
+    assert len(near) == 12 and all(r.doc_id % 4 != r.query_id % 4 for r in near)
+    assert vectors.target_ranks(q.limit(0), g, 1).collect() == []

@@ -32,8 +32,7 @@ def test_upserts(spark, tmp_path):
     stream = folder(spark, tmp_path, [[("a", 0, 1), ("b", 1, 1)], [("a", 5, 2)]])
     T.upserts(stream, ["k"], "t", f"{tmp_path}/log", f"{tmp_path}/view", f"{tmp_path}/c").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/log").count() == 3
-    last = max(int(p.name[2:]) for p in (tmp_path / "view").iterdir() if p.name.startswith("v="))
-    assert {r.k: r.v for r in spark.read.parquet(f"{tmp_path}/view/v={last}").collect()} == {"a": 2, "b": 1}
+    assert {r.k: r.v for r in T.latest_view(spark, f"{tmp_path}/view").collect()} == {"a": 2, "b": 1}
 
 
 def test_time_to_live(spark, tmp_path):
