@@ -324,3 +324,22 @@ def test_target_ranks_and_groups_apart(spark):
     near = vectors.nearest(q, g, 3, metric="ip", apart="s").collect()
     assert len(near) == 12 and all(r.doc_id % 4 != r.query_id % 4 for r in near)
     assert vectors.target_ranks(q.limit(0), g, 1).collect() == []
+
+
+def test_bm25_top_by_kinds_of_queries(spark, monkeypatch):
+    """The k best are those of the pairs: ties, repeated words, several blocks, and no block a query for equal words."""
+    rng = np.random.default_rng(5)
+    words = ["a", "b", "c", "d", "가", "나"]
+    texts = [(i, " ".join(rng.choice(words, rng.integers(0, 9)))) for i in range(400)] + [(400 + i, "a b") for i in range(30)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    asked = [(i, " ".join(rng.choice([*words, "zz"], 1 + i % 4))) for i in range(40)] + [(90, "A a b"), (91, "b, a a"), (92, "zz"), (93, "")]
+    queries = spark.createDataFrame(asked, "query_id long, query_text string")
+    args = docs, F.col("doc_id"), F.col("text"), queries
+    pairs = lexical.bm25(*args).select("query_id", "doc_id", F.round("bm25", 6).alias("bm25"))
+    want = sorted(map(tuple, lexical.top_k(pairs, "bm25", 7).select("query_id", "doc_id", "bm25", "rank").collect()))
+    assert sorted(map(tuple, lexical.bm25_top(*args, 7).collect())) == want
+    monkeypatch.setattr(lexical, "BLOCK", 4)
+    monkeypatch.setattr(lexical, "CELLS", 50)
+    assert sorted(map(tuple, lexical.bm25_top(*args, 7).collect())) == want
+    none = spark.createDataFrame([(1, "zz")], "query_id long, query_text string")
+    assert lexical.bm25_top(docs, F.col("doc_id"), F.col("text"), none, 7).collect() == []
