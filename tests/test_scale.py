@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from ranklake.operators import lexical
+from ranklake.operators import graph, lexical
 from ranklake.plans.core import CORE
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -20,3 +20,14 @@ def test_no_pairs_of_words(spark, monkeypatch, name):
 
     monkeypatch.setattr(lexical, "bm25", pairs)
     assert CORE.plans[name](spark, SF).columns
+
+
+@pytest.mark.parametrize("name", ["graph_rerank"])
+def test_no_pairs_of_features(spark, monkeypatch, name):
+    """Only the best of each kind of query are wanted, so candidates must not become rows."""
+
+    def pairs(*_):
+        raise AssertionError("pairs of queries and documents")
+
+    monkeypatch.setattr(graph, "candidates", pairs)
+    assert CORE.plans[name](spark, SF).columns
