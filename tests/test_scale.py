@@ -22,7 +22,7 @@ def test_no_pairs_of_words(spark, monkeypatch, name):
     assert CORE.plans[name](spark, SF).columns
 
 
-@pytest.mark.parametrize("name", ["graph_rerank", "profile_rerank", "graph_neighbours"])
+@pytest.mark.parametrize("name", ["graph_rerank", "profile_rerank", "graph_neighbours", "condition_credit"])
 def test_no_pairs_of_features(spark, monkeypatch, name):
     """Only the best of each kind of query are wanted, so candidates must not become rows."""
 
