@@ -1,5 +1,6 @@
 """Operators against values worked out by hand and against NumPy."""
 
+import hashlib
 from datetime import date
 
 import numpy as np
@@ -343,3 +344,9 @@ def test_bm25_top_by_kinds_of_queries(spark, monkeypatch):
     assert sorted(map(tuple, lexical.bm25_top(*args, 7).collect())) == want
     none = spark.createDataFrame([(1, "zz")], "query_id long, query_text string")
     assert lexical.bm25_top(docs, F.col("doc_id"), F.col("text"), none, 7).collect() == []
+
+
+def test_md5_flips_are_those_of_md5():
+    for prefix in ("flip|q|", "flip||", "flip|" + "긴" * 13 + "abc|", "flip|" + "x" * 47 + "|", "flip|" + "y" * 90 + "|", "abc"):
+        want = [hashlib.md5(f"{prefix}{i}".encode()).hexdigest()[0] < "8" for i in range(1, 20_001)]
+        assert statistics.md5_flips(prefix.encode(), 20_000).tolist() == want
