@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from ranklake.operators import graph, lexical
 from ranklake.plans.core import CORE
@@ -31,3 +32,15 @@ def test_no_pairs_of_features(spark, monkeypatch, name):
 
     monkeypatch.setattr(graph, "candidates", pairs)
     assert CORE.plans[name](spark, SF).columns
+
+
+def test_candidates_are_not_shuffled(spark):
+    """All candidates are wanted, so they are made by joins with small sides; the rows are those of the plain join."""
+    asked = spark.createDataFrame([(q, f"age:{q % 3}") for q in range(9)] + [(1, "sex:m"), (1, "sex:m")], "query_id long, feature string")
+    web = spark.createDataFrame([(d, f"age:{d % 5}") for d in range(20)] + [(d, "sex:m") for d in range(4)], "doc_id long, feature string")
+    got = graph.candidates(asked, web)
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    prior = asked.distinct().join(web, "feature").withColumn("w", graph.feature_weight(F.col("feature"))).groupBy("query_id", "doc_id")
+    want = {(r.query_id, r.doc_id): round(r.w, 6) for r in prior.agg(F.sum("w").alias("w")).collect()}
+    assert {(r.query_id, r.doc_id): round(r.prior, 6) for r in got.collect()} == want
+    assert all(0 < r.match <= 1 for r in got.collect())
