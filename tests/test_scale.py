@@ -12,7 +12,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables are not here")
 
 
-@pytest.mark.parametrize("name", ["candidate_union", "hybrid_top", "ablation_stages", "appearance_top", "side_by_side", "vector_word_top"])
+@pytest.mark.parametrize("name", ["candidate_union", "hybrid_top", "ablation_stages", "appearance_top", "side_by_side", "vector_word_top", "weight_sensitivity"])
 def test_no_pairs_of_words(spark, monkeypatch, name):
     """Every word a query shares with a document must not become a row."""
 
