@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from oracle import connection, rows
 from pyspark.sql import functions as F
 
 from ranklake.operators import graph, lexical
@@ -44,3 +45,16 @@ def test_candidates_are_not_shuffled(spark):
     want = {(r.query_id, r.doc_id): round(r.w, 6) for r in prior.agg(F.sum("w").alias("w")).collect()}
     assert {(r.query_id, r.doc_id): round(r.prior, 6) for r in got.collect()} == want
     assert all(0 < r.match <= 1 for r in got.collect())
+
+
+def test_vectors_are_rounded_before_the_cut(spark, tmp_path):
+    """More vectors than the 50 wanted are equally near when rounded, the higher ids a little nearer: the lower ids win."""
+    profiles = [(50, "a", "any", "any")]
+    spark.createDataFrame(profiles, "profile_id long, preferred_region string, preferred_size string, preferred_age string").write.parquet(
+        f"{tmp_path}/appearance_profiles.parquet"
+    )
+    spark.createDataFrame([(1, "개 산책"), (2, "접종")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    near = [(i, [1.0, (200 - i) * 1e-6]) for i in range(1, 200) if i != 50] + [(50, [1.0, 0.0])]
+    spark.createDataFrame(near, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got, want = CORE.plans["vector_word_top"](spark, str(tmp_path)).toPandas(), connection(str(tmp_path)).execute(CORE.sql["vector_word_top"]).df()
+    assert len(got) == 10 and rows(got) == rows(want)
