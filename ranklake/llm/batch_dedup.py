@@ -300,7 +300,7 @@ def _accepted_in_batch(items: DataFrame, rows: DataFrame, sets: DataFrame) -> Da
             .where(_apart("far", "o_far") <= F.floor((F.col("size") + F.col("o_size")) / 3))
             .select("set_key", "other_key")
         )
-        closed = won.union(_verified(pairs, sets, sets).select("set_key"))
+        closed = won.union(cut(_verified(pairs, sets, sets)).select("set_key"))
         still_open = cut(_without(judged, winners, closed))
         before, n_open = n_open, still_open.count()
         if n_open and before - n_open < LEAST_DECIDED * before:
@@ -320,7 +320,7 @@ def check_batch(batch: DataFrame, history: History) -> tuple[DataFrame, History]
     decides. Returns the pairs ``item_id_a, item_id_b`` in which b is a case and a an accepted earlier item it repeats, by
     number or pictures. Copies meet through their number and their set of pictures, each of which has at most one accepted
     item, never pairwise. Of the history only rows of the batch's pictures, numbers and sets travel; none is computed or
-    written again.
+    written again. Links and pairs are cut, so no plan grows with the batches and the driver holds that of one step at a time.
     """
     batch = stored(batch.select(*_NAMES, "pictures"), "batch")
     sets = stored(batch.where("set_key IS NOT NULL").select("set_key", "pictures").dropDuplicates(["set_key"]), "sets")
@@ -337,14 +337,17 @@ def check_batch(batch: DataFrame, history: History) -> tuple[DataFrame, History]
 
     old, rest = None, items
     if history.batches:
-        old = cut(repeats(items, history.items, near_sets(rows, sets, history.rows, history.sets)))
+        old = cut(repeats(items, history.items, cut(near_sets(rows, sets, history.rows, history.sets))))
         rest = cut(items.join(old.select(F.col("item_id_b").alias("item_id")).distinct(), "item_id", "left_anti"))
     new = stored(_accepted_in_batch(rest.select(*_NAMES), rows, sets), "accepted")
     of = lambda df: df.where("set_key IS NOT NULL").select("set_key").distinct()
     cases = cut(items.join(new.select("item_id"), "item_id", "left_anti").select(*_NAMES))
     new_rows, new_sets = rows.join(of(new), "set_key", "left_semi"), sets.join(of(new), "set_key", "left_semi")
-    links = near_sets(rows.join(of(cases), "set_key", "left_semi"), sets, new_rows, sets)
-    pairs = repeats(cases, new, links).where("item_id_a < item_id_b")
+    if cases.isEmpty():
+        pairs = cases.select(F.col("item_id").alias("item_id_a"), F.col("item_id").alias("item_id_b"))
+    else:
+        links = cut(near_sets(rows.join(of(cases), "set_key", "left_semi"), sets, new_rows, sets))
+        pairs = cut(repeats(cases, new, links).where("item_id_a < item_id_b"))
     if old is not None:
         pairs = old.unionByName(pairs)
     return pairs, history.append(new, new_sets, new_rows.select(*rows.columns))

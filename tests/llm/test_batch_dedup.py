@@ -106,3 +106,13 @@ def test_chains_and_lower_ids_of_later_batches(spark):
     assert {tuple(r) for r in pairs.collect()} == brute([(i, n, frozenset(u.split(","))) for i, n, u in chain])
     again, _ = check_batch(sig(spark, [(-5, None, urls(["c1", "c2"]))]), history)
     assert [tuple(r) for r in again.collect()] == [(1, -5)]
+
+
+def test_pairs_leave_no_plan_behind(spark):
+    """What a batch returns is made already, so plans of several batches do not meet in the driver's memory."""
+    pairs, history = check_batch(sig(spark, [(1, None, urls("ab")), (2, None, urls("ab"))]), History.new(spark))
+    later, _ = check_batch(sig(spark, [(3, None, urls("abc")), (4, "n", urls("x")), (5, "n", None)]), history)
+    both = pairs.unionByName(later)
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert {tuple(r) for r in both.collect()} == {(1, 2), (1, 3), (4, 5)}
