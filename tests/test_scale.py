@@ -24,6 +24,24 @@ def test_no_pairs_of_words(spark, monkeypatch, name):
     assert CORE.plans[name](spark, SF).columns
 
 
+@pytest.mark.parametrize("most", [lexical.MOST_WORDS, 1])
+def test_only_words_asked_for_become_rows(spark, monkeypatch, most):
+    """Words are dropped before they are counted, whether they are looked for or joined; lengths and repeated ids still count."""
+    kept = []
+    monkeypatch.setattr(lexical, "MOST_WORDS", most)
+    stored = lexical.stored
+    monkeypatch.setattr(lexical, "stored", lambda df, name: kept.append(stored(df, name)) or kept[-1])
+    texts = [(1, "A b c b"), (2, "b x"), (3, "x y z"), (4, ""), (5, None), (2, "b y"), (6, "a"), (6, "a")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "a b b"), (2, "b q"), (3, None)], "query_id long, query_text string")
+    got = lexical.bm25_top(docs, F.col("doc_id"), F.col("text"), queries, 10)
+    want = lexical.bm25(docs, F.col("doc_id"), F.col("text"), queries).select("query_id", "doc_id", F.round("bm25", 6).alias("bm25"))
+    assert sorted(map(tuple, got.drop("rank").collect())) == sorted(map(tuple, want.collect()))
+    if most > 1:
+        assert sorted(r.doc_id for r in kept[0].where("term IS NULL").collect()) == [3, 4, 5]
+        assert kept[0].agg(F.sum("own")).first()[0] == len(texts)
+
+
 @pytest.mark.parametrize("name", ["graph_rerank", "profile_rerank", "graph_neighbours", "condition_credit"])
 def test_no_pairs_of_features(spark, monkeypatch, name):
     """Only the best of each kind of query are wanted, so candidates must not become rows."""
